@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,14 @@ from vecloom.functions.hashing import uniform
 TINY = 1e-12
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A value used inside a ``transform`` lambda would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -35,8 +43,12 @@ def norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Divide by the norm; the zero vector stays as it is."""
-    length = F.greatest(norm(vector), F.lit(TINY))
-    return F.transform(doubles(vector), lambda x: x / length)
+
+    def divide(v: Column) -> Column:
+        length = F.greatest(norm(v), F.lit(TINY))
+        return bind(length, lambda n: F.transform(v, lambda x: x / n))
+
+    return bind(doubles(vector), divide)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -45,21 +57,29 @@ def cosine(a: Column, b: Column) -> Column:
 
 def standardize(vector: Column, eps: float = 1e-7, floor: float | None = None) -> Column:
     """(x - mean) / (sample std + eps), or / max(sample std, floor). One element gives NULL."""
+
+    def center(v: Column) -> Column:
+        return bind(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+
+    def scale(c: Column) -> Column:
+        std = F.sqrt(squared_norm(c) / (F.size(c) - 1))
+        by = F.greatest(std, F.lit(floor)) if floor is not None else std + F.lit(eps)
+        return bind(by, lambda d: F.transform(c, lambda x: x / d))
+
     v = doubles(vector)
-    n = F.size(v)
-    mean = total(v) / n
-    spread = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    std = F.sqrt(spread / (n - 1))
-    scale = F.greatest(std, F.lit(floor)) if floor is not None else std + F.lit(eps)
-    return F.when(n > 1, F.transform(v, lambda x: (x - mean) / scale))
+    return F.when(F.size(v) > 1, bind(bind(v, center), scale))
 
 
 def pad_or_trim(vector: Column, length: int | Column, start: int | Column = 0) -> Column:
     """Exactly ``length`` elements from ``start`` (clamped at 0), zeros past the end."""
     size = F.lit(length) if isinstance(length, int) else length
     begin = F.greatest(F.lit(start) if isinstance(start, int) else start, F.lit(0))
-    kept = F.slice(vector, (begin + 1).cast("int"), size.cast("int"))
-    return F.concat(kept, F.array_repeat(F.lit(0).cast("float"), (size - F.size(kept)).cast("int")))
+
+    def fill(kept: Column) -> Column:
+        missing = (size - F.size(kept)).cast("int")
+        return F.concat(kept, F.array_repeat(F.lit(0).cast("float"), missing))
+
+    return bind(F.slice(vector, (begin + 1).cast("int"), size.cast("int")), fill)
 
 
 def layer_pool(layers: Column, chosen: Sequence[int]) -> Column:
@@ -74,12 +94,14 @@ def mean_pool_rows(rows: Column) -> Column:
 
 
 def _mean_rows(rows: Column) -> Column:
-    count = F.size(rows)
-    first = F.transform(doubles(F.try_element_at(rows, F.lit(1))), lambda x: x * 0.0)
-    sums = F.aggregate(
-        rows, first, lambda acc, row: F.zip_with(acc, doubles(row), lambda a, b: a + b)
-    )
-    return F.transform(sums, lambda x: x / count)
+    def mean(r: Column) -> Column:
+        first = F.transform(doubles(F.try_element_at(r, F.lit(1))), lambda x: x * 0.0)
+        sums = F.aggregate(
+            r, first, lambda acc, row: F.zip_with(acc, doubles(row), lambda a, b: a + b)
+        )
+        return bind(F.size(r), lambda n: F.transform(sums, lambda x: x / n))
+
+    return bind(rows, mean)
 
 
 def random_gain(vector: Column, key: Column, seed: str, max_db: float = 3.0) -> Column:
@@ -88,7 +110,7 @@ def random_gain(vector: Column, key: Column, seed: str, max_db: float = 3.0) ->
         return vector
     db = (uniform(key, f"{seed}:gain") * 2.0 - 1.0) * max_db
     gain = F.pow(F.lit(10.0), db / 20.0)
-    return F.transform(doubles(vector), lambda x: x * gain)
+    return bind(gain, lambda g: F.transform(doubles(vector), lambda x: x * g))
 
 
 def random_polarity(vector: Column, key: Column, seed: str, p: float = 0.5) -> Column:
@@ -96,7 +118,7 @@ def random_polarity(vector: Column, key: Column, seed: str, p: float = 0.5) -> C
     if p <= 0:
         return vector
     sign = F.when(uniform(key, f"{seed}:polarity") < p, -1.0).otherwise(1.0)
-    return F.transform(doubles(vector), lambda x: x * sign)
+    return bind(sign, lambda f: F.transform(doubles(vector), lambda x: x * f))
 
 
 def mask_bands(
@@ -113,34 +135,36 @@ def mask_bands(
 
     The bands are drawn from the batch key, so every row of a batch has the same ones.
     """
-    n_bands = F.size(spectrogram)
-    n_frames = F.size(F.try_element_at(spectrogram, F.lit(1)))
-    rows = _band_list(batch, f"{seed}:freq", freq_masks, freq_mask_max, n_bands)
-    cols = _band_list(batch, f"{seed}:time", time_masks, time_mask_max, n_frames)
-
-    def hit(bands: list[tuple[Column, Column]], i: Column) -> Column:
-        out = F.lit(False)
-        for start, width in bands:
-            out = out | ((i >= start) & (i < start + width))
-        return out
-
-    def cell(row_masked: Column, x: Column, j: Column) -> Column:
-        return F.when(row_masked | hit(cols, j), F.lit(0.0)).otherwise(x.cast("double"))
-
-    return F.transform(
-        spectrogram,
-        lambda row, i: F.transform(row, lambda x, j: cell(hit(rows, i), x, j)),
-    )
+
+    def masked(grid: Column) -> Column:
+        n_frames = F.size(F.try_element_at(grid, F.lit(1)))
+        rows = _band_list(batch, f"{seed}:freq", freq_masks, freq_mask_max, F.size(grid))
+        cols = _band_list(batch, f"{seed}:time", time_masks, time_mask_max, n_frames)
+        return bind(rows, lambda r: bind(cols, lambda c: _zero_bands(grid, r, c)))
+
+    return bind(spectrogram, masked)
+
+
+def _zero_bands(grid: Column, rows: Column, cols: Column) -> Column:
+    def hit(bands: Column, i: Column) -> Column:
+        return F.exists(bands, lambda b: (i >= b["start"]) & (i < b["start"] + b["width"]))
+
+    def line(row: Column, row_hit: Column) -> Column:
+        return F.transform(
+            row, lambda x, j: F.when(row_hit | hit(cols, j), F.lit(0.0)).otherwise(x.cast("double"))
+        )
+
+    return F.transform(grid, lambda row, i: bind(hit(rows, i), lambda h: line(row, h)))
 
 
-def _band_list(batch: Column, seed: str, count: int, widest: int, size: Column) -> list:
+def _band_list(batch: Column, seed: str, count: int, widest: int, size: Column) -> Column:
     out = []
     for m in range(count):
         drawn = 1 + F.floor(uniform(batch, f"{seed}:{m}:width") * widest)
         width = F.least(drawn, F.greatest(F.lit(1), size - 1))
-        places = F.greatest(F.lit(1), size - width)
-        out.append((F.floor(uniform(batch, f"{seed}:{m}:start") * places), width))
-    return out
+        start = F.floor(uniform(batch, f"{seed}:{m}:start") * F.greatest(F.lit(1), size - width))
+        out.append(F.struct(start.cast("bigint").alias("start"), width.cast("bigint").alias("width")))
+    return F.array(*out).cast("array<struct<start:bigint,width:bigint>>")
 
 
 def norm_audit(df: DataFrame, vector: str = "embedding", eps: float = 1e-3) -> DataFrame:

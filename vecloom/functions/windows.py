@@ -24,10 +24,14 @@ def window_count(n: int | Column, window: int, hop: int) -> Column:
 
 def sliding_windows(vector: Column, window: int, hop: int) -> Column:
     """Array of windows; the last one is zero-padded. ``posexplode`` it for one row per window."""
-    count = window_count(F.size(vector), window, hop)
-    return F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: V.pad_or_trim(vector, window, i * hop)
-    )
+
+    def cut(v: Column) -> Column:
+        count = window_count(F.size(v), window, hop)
+        return F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: V.pad_or_trim(v, window, i * hop)
+        )
+
+    return V.bind(vector, cut)
 
 
 def windows_of_position(position: Column, n: Column, window: int, hop: int) -> Column:
@@ -68,7 +72,12 @@ def rescale_offset(start: Column, source: int = fixed.TARGET_SR, target: int = f
 
 def random_crop(vector: Column, length: int, key: Column, seed: str | Column) -> Column:
     """``length`` elements from a start drawn in [0, n - length]; a short sequence is padded."""
-    return V.pad_or_trim(vector, length, crop_start(F.size(vector), length, key, seed))
+
+    def cut(v: Column) -> Column:
+        start = crop_start(F.size(v), length, key, seed)
+        return V.bind(start, lambda s: V.pad_or_trim(v, length, s))
+
+    return V.bind(vector, cut)
 
 
 def crop_start(n: Column, length: int, key: Column, seed: str | Column) -> Column:

@@ -86,8 +86,9 @@ def _products(pairs: DataFrame, key: Column | None) -> DataFrame:
     Every task emits at most 3 D + 3 rows per key it has seen, whatever the number of its input rows, so
     the shuffle that adds them up is small.
     """
+    group = F.lit("") if key is None else key.cast("string")
     rows = pairs.select(
-        (F.lit("") if key is None else key.cast("string")).alias("key"), "a", "b"
+        group.alias("key"), V.doubles(F.col("a")).alias("a"), V.doubles(F.col("b")).alias("b")
     ).where(F.col("key").isNotNull())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
