@@ -30,7 +30,7 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if df[c].dtype == object and len(df) and df[c].map(lambda x: hasattr(x, "__len__") and not isinstance(x, str)).any():
             df = df.assign(**{c: df[c].map(lambda x: None if x is None else repr(list(x)))})
-    keys = df.astype(str)
+    keys = df.astype(object).where(~df.isna(), None).astype(str)
     order = keys.sort_values(list(df.columns)).index
     return df.loc[order].reset_index(drop=True)
 

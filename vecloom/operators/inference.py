@@ -27,20 +27,22 @@ def batched_inference(
     column: str = "window",
     out: str = "embedding",
     batch_size: int = 256,
+    precise: bool = False,
 ) -> DataFrame:
     """Apply a batch model to every window. ``make_model`` runs once per Python worker.
 
     Windows that are NULL or of another length are kept with ``status = 'failed'`` and no vector;
-    a window never stops the job.
+    a window never stops the job. Vectors are 32-bit floats unless ``precise``.
     """
+    number, element = (np.float64, T.DoubleType()) if precise else (np.float32, T.FloatType())
 
     def make_predict() -> Model:
         model = make_model()
-        return lambda batch: np.asarray(model(np.asarray(batch, dtype=np.float32)), dtype=np.float32)
+        return lambda batch: np.asarray(model(np.asarray(batch, dtype=np.float32)), dtype=number)
 
     predict = predict_batch_udf(
         make_predict,
-        return_type=T.ArrayType(T.FloatType()),
+        return_type=T.ArrayType(element),
         batch_size=batch_size,
         input_tensor_shapes=[[window]],
     )

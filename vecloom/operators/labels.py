@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import id_to_path, path_to_id, relative_path
 from vecloom.functions.vectors import mean_pool
+from vecloom.functions.windows import estimate_samples, plan_windows
 from vecloom.operators.ranking import global_positions
 
 
@@ -124,6 +125,30 @@ def distinct_count(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count_distinct(key).alias("n_distinct"))
 
 
+def expand_windows(
+    manifest: DataFrame, count: int, window: int = fixed.WINDOW_SAMPLES, rate: int = fixed.TARGET_SR
+) -> DataFrame:
+    """One row per planned window of every manifest row, from its ``frames`` and ``rate``.
+
+    A row whose frame count is unknown (unreadable file) stays as one row with status ``failed``.
+    """
+    n = estimate_samples(F.col("frames"), F.col("rate"), rate)
+    sized = manifest.withColumn("_n", n)
+    starts = F.when(F.col("_n").isNotNull(), plan_windows(F.col("_n"), count, window))
+    kept = [c for c in manifest.columns if c not in ("frames", "rate")]
+    long = sized.select(*kept, "_n", F.posexplode_outer(starts).alias("window_index", "start_sample"))
+    good = F.col("_n").isNotNull()
+    return long.select(
+        *kept,
+        F.when(good, "ok").otherwise("failed").alias("status"),
+        "window_index",
+        "start_sample",
+        F.when(good, F.lit(window).cast("bigint")).alias("duration_samples"),
+        (F.col("start_sample") / float(rate)).alias("start_seconds"),
+        F.when(good, F.lit(window / rate)).alias("duration_seconds"),
+    )
+
+
 def aggregate_windows_to_tracks(windows: DataFrame, vector: str = "embedding") -> DataFrame:
     """One pooled vector per track, with the path and label of its first window."""
     pooled = mean_pool(windows, ["fma_track_id"], vector)

@@ -26,10 +26,14 @@ STORE_SQL = """store AS (
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_of(table(spark, sf_dir, "embeddings"))
+
+
+def store_of(embeddings: DataFrame) -> DataFrame:
     v = F.col("vec_id")
     track_id = F.lpad(v.cast("string"), 6, "0")
     folder = F.lpad(F.floor(v / 1000).cast("string"), 3, "0")
-    return table(spark, sf_dir, "embeddings").select(
+    return embeddings.select(
         track_id.alias("track_id"),
         F.concat(F.lit("/lib/"), folder, F.lit("/"), track_id, F.lit(".mp3")).alias("path"),
         F.concat(F.lit("t"), v).alias("title"),
