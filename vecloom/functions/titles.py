@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -17,30 +16,39 @@ NOISE = "(?iuU)" + "|".join(fixed.TITLE_NOISE)
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def _squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE, " "))
 
 
-def casefold(text: Column) -> Column:
-    """Lower case plus the full case foldings that ``lower`` leaves alone (such as sharp s)."""
-    lowered = F.lower(text)
-    # built from the Unicode rule itself: every character whose folding is not its lower case
-    folds = {
+def _case_folds() -> dict[str, str]:
+    """Built from the Unicode rule: characters whose folding is not their lower case."""
+    return {
         chr(c): chr(c).casefold()
         for c in range(0x80, 0x20000)
-        if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()
+        if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower() and chr(c) not in "ßẞ"
     }
-    table = F.str_to_map(
-        F.lit("\n".join(f"{k}\t{v}" for k, v in folds.items())), F.lit("\n"), F.lit("\t")
-    )
-    odd = "[" + "".join(re.escape(k) for k in folds) + "]"
+
+
+_FOLDS = _case_folds()
+_FOLDED = "".join(_FOLDS)
+
+
+def casefold(text: Column) -> Column:
+    """Lower case plus the full case foldings that ``lower`` leaves alone.
+
+    Sharp s is common and replaced at once; text with any of the rare others goes through a map.
+    """
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    pairs = "\n".join(f"{k}\t{v}" for k, v in _FOLDS.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
     folded = F.array_join(
         F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
-    return F.when(lowered.rlike(odd), folded).otherwise(lowered)
+    plain = F.translate(lowered, _FOLDED, "") == lowered
+    return F.when(plain, lowered).otherwise(folded)
 
 
 def clean_value(text: Column) -> Column:

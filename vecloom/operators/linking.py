@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
 from vecloom.functions.linkage import norm_text, tokens
+from vecloom.session import materialize
 
 CAP_MS = 30_000
 GRAM = 3
@@ -42,6 +43,7 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
         (F.coalesce(F.trim("artist"), F.lit("")) != "").alias("has_a"),
         (F.coalesce(F.trim("album"), F.lit("")) != "").alias("has_b"),
     ).where(F.col("t") != "")
+    left = materialize(left, "tracks")
     right = recordings.select(
         "cand",
         norm_text(F.col("title")).alias("t"),
@@ -51,6 +53,7 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
         F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length"),
         F.round(F.coalesce(F.col("base").cast("double"), F.lit(0.0)) * 1000).cast("bigint").alias("base"),
     ).where(F.col("t") != "")
+    right = materialize(right, "recordings")
 
     albums = _album_pairs(left, right)
     offers = right.select("cand", "length", "base", "t", "a", "words")

@@ -137,7 +137,7 @@ def s6_get(spark, sf_dir):
 # files: a store row per vector and a copy elsewhere; ids repeat, some cannot be read or embedded
 _FILES_SQL = """files AS (
     SELECT CASE WHEN vec_id % 19 <> 0 THEN 'i' || (vec_id % 400) END AS track_id, '/new/' || artist || '/' || vec_id || '.mp3' AS path,
-           CASE WHEN vec_id % 23 <> 0 THEN embedding END AS embedding FROM (SELECT *, coalesce(artist, 'none') AS artist FROM store_f)),
+           CASE WHEN vec_id % 23 <> 0 THEN embedding END AS embedding FROM (SELECT * REPLACE (coalesce(artist, 'none') AS artist) FROM store_f)),
   known AS (SELECT DISTINCT 'i' || (vec_id % 400) AS track_id FROM embeddings WHERE label < 3)"""
 
 
