@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,13 +184,9 @@ def norm_audit(df: DataFrame, vector: str = "embedding", eps: float = 1e-3) -> D
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
     """Element-wise mean of the vectors of every group, renormalized.
 
-    The mean is taken per (group, position), so partial sums combine before the shuffle and a hot
-    group costs no more than its width in rows.
+    The summarizer merges partial means before the shuffle: one vector per group and task travels.
     """
-    parts = df.where(F.col(vector).isNotNull()).select(
-        *keys, F.posexplode(doubles(F.col(vector))).alias("pos", "x")
-    )
-    means = parts.groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    pooled = means.groupBy(*keys).agg(F.transform(ordered, lambda e: e["x"]).alias(vector))
+    rows = df.where(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(doubles(F.col(vector))))
+    pooled = rows.groupBy(*keys).agg(vector_to_array(mean).alias(vector))
     return pooled.withColumn(vector, l2_normalize(F.col(vector)))

@@ -18,6 +18,7 @@ from vecloom import fixed_values as fixed
 from vecloom.functions import vectors as V
 from vecloom.operators import knn, metrics
 from vecloom.operators.knn import _matrix
+from vecloom.operators.quantiles import exact_quantiles
 
 
 def pair_views(
@@ -33,14 +34,13 @@ def cosine_summary(pairs: DataFrame, normalized: bool = False) -> DataFrame:
     """Mean, minimum and quartiles (linear interpolation) of the row-wise products."""
     score = V.cosine if normalized else V.dot
     cos = pairs.select(score(F.col("a"), F.col("b")).alias("c"))
-    quartiles = F.percentile("c", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = cos.agg(F.avg("c").alias("cosine_mean"), F.min("c").alias("cosine_min"), quartiles.alias("q"))
+    one = F.lit(1).alias("_one")
+    ends = cos.agg(F.avg("c").alias("cosine_mean"), F.min("c").alias("cosine_min")).select("*", one)
+    row = ends.join(exact_quantiles(cos, "c", (0.25, 0.5, 0.75)).select("*", one), "_one")
     return row.select(
         "cosine_mean",
         "cosine_min",
-        F.col("q")[0].alias("cosine_p25"),
-        F.col("q")[1].alias("cosine_p50"),
-        F.col("q")[2].alias("cosine_p75"),
+        *[F.col("q")[i].alias(name) for i, name in enumerate(("cosine_p25", "cosine_p50", "cosine_p75"))],
     )
 
 
@@ -80,16 +80,56 @@ _PRODUCT = T.StructType(
 )
 
 
-def _products(pairs: DataFrame, key: Column | None) -> DataFrame:
+SMALL_KEY_ROWS = 4096
+
+
+def _keyed_rows(pairs: DataFrame, key: Column | None) -> DataFrame:
+    group = F.lit("") if key is None else key.cast("string")
+    return pairs.select(
+        group.alias("key"), V.doubles(F.col("a")).alias("a"), V.doubles(F.col("b")).alias("b")
+    ).where(F.col("key").isNotNull())
+
+
+def _by_key(rows: DataFrame, small, large) -> DataFrame:
+    """Keys of few rows are worked whole, in one call each; larger ones by partial products."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    sized = rows.join(sizes, "key")
+    few = sized.where(F.col("_n") <= SMALL_KEY_ROWS).drop("_n")
+    many = sized.where(F.col("_n") > SMALL_KEY_ROWS).drop("_n")
+    return small(few).unionByName(large(many))
+
+
+def _per_group(rows: DataFrame, schema: str, work) -> DataFrame:
+    """``work(a, b)`` gives the numbers of one key, or None to leave it out."""
+    names = [part.split()[0] for part in schema.split(",")]
+    types = {"bigint": pa.int64(), "double": pa.float64()}
+    kinds = [types[part.split()[1]] for part in schema.split(",")]
+
+    def call(table: pa.Table) -> pa.Table:
+        dim = len(table.column("a")[0])
+        got = work(_matrix(table.column("a"), dim), _matrix(table.column("b"), dim))
+        some = [] if got is None else [table.column("key")[0].as_py()]
+        columns = [pa.array(some, pa.string())]
+        columns += [pa.array([] if got is None else [got[i]], kind) for i, kind in enumerate(kinds)]
+        return pa.table(dict(zip(["key", *names], columns)))
+
+    return rows.groupBy("key").applyInArrow(call, f"key string, {schema}")
+
+
+def _group_mse(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    n = len(a)
+    if n < 2:
+        return n, 0.0
+    gap = (a @ a.T - b @ b.T) ** 2
+    return n, float((gap.sum() - np.trace(gap)) / (n * (n - 1)))
+
+
+def _products(rows: DataFrame) -> DataFrame:
     """Per key: the sums of x x', column sums and scalar sums, as rows of D numbers.
 
     Every task emits at most 3 D + 3 rows per key it has seen, whatever the number of its input rows, so
     the shuffle that adds them up is small.
     """
-    group = F.lit("") if key is None else key.cast("string")
-    rows = pairs.select(
-        group.alias("key"), V.doubles(F.col("a")).alias("a"), V.doubles(F.col("b")).alias("b")
-    ).where(F.col("key").isNotNull())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], np.ndarray] = {}
@@ -138,7 +178,15 @@ def _products(pairs: DataFrame, key: Column | None) -> DataFrame:
 
 def relational_mse(pairs: DataFrame, key: Column | None = None) -> DataFrame:
     """Mean over i != j of (a_i.a_j - b_i.b_j)^2, per key or over the whole table."""
-    sums = _products(pairs, key).where(F.col("what") != "sum")
+    rows = _keyed_rows(pairs, key)
+    if key is None:
+        return _large_mse(rows).drop("key")
+    small = lambda df: _per_group(df, "n_rows bigint, relational_mse double", _group_mse)
+    return _by_key(rows, small, _large_mse)
+
+
+def _large_mse(rows: DataFrame) -> DataFrame:
+    sums = _products(rows).where(F.col("what") != "sum")
     is_one = F.col("what") == "one"
     sign = F.when(F.col("what") == "ab", -2.0).otherwise(1.0)
     per_key = sums.groupBy("key").agg(
@@ -148,10 +196,9 @@ def relational_mse(pairs: DataFrame, key: Column | None = None) -> DataFrame:
     )
     n = F.col("n")
     mse = F.when(n >= 2, F.greatest(F.col("squares") - F.col("diagonal"), F.lit(0.0)) / (n * (n - 1)))
-    out = per_key.select(
+    return per_key.select(
         "key", n.cast("bigint").alias("n_rows"), F.coalesce(mse, F.lit(0.0)).alias("relational_mse")
     )
-    return out if key is not None else out.drop("key")
 
 
 def redundancy_report(
@@ -168,7 +215,38 @@ def redundancy_report(
     Per key when one is given; keys of one row are left out. Otherwise fewer than two rows are an
     error.
     """
-    sums = _products(pairs, key)
+
+    def group(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float] | None:
+        n, d = a.shape
+        if n < 2:
+            return None
+        std = cov = 0.0
+        for side in (a, b):
+            spread = side.var(axis=0, ddof=1)
+            std += 0.5 * float(np.maximum(0.0, 1.0 - np.sqrt(spread + eps)).mean())
+            centered = side - side.mean(axis=0)
+            products = (centered.T @ centered / (n - 1)) ** 2
+            cov += float((products.sum() - np.trace(products)) / d)
+        return n, float(((a - b) ** 2).mean()), std, cov
+
+    rows = _keyed_rows(pairs, key)
+    if key is None:
+        few = F.raise_error(F.lit("the report needs at least two rows")).cast("bigint")
+        parts = _large_redundancy(rows, eps)
+        n_rows = F.when(F.col("n_rows") >= 2, F.col("n_rows")).otherwise(few)
+        parts = parts.withColumn("n_rows", n_rows)
+    else:
+        schema = "n_rows bigint, sim double, std double, cov double"
+        parts = _by_key(
+            rows, lambda df: _per_group(df, schema, group), lambda df: _large_redundancy(df, eps)
+        )
+    total = sim_coef * F.col("sim") + std_coef * F.col("std") + cov_coef * F.col("cov")
+    out = parts.withColumn("total", total)
+    return out if key is not None else out.drop("key")
+
+
+def _large_redundancy(rows: DataFrame, eps: float) -> DataFrame:
+    sums = _products(rows)
     totals = sums.where(F.col("what") == "sum").select(
         "key", F.when(F.col("pos") == 0, "aa").otherwise("bb").alias("what"), "col", F.col("x").alias("t")
     )
@@ -176,11 +254,6 @@ def redundancy_report(
         F.max(F.when(F.col("col") == 0, F.col("x"))).alias("n"),
         F.max(F.when(F.col("col") == 2, F.col("x"))).alias("gap"),
     )
-    if key is None:
-        few = F.raise_error(F.lit("the report needs at least two rows")).cast("double")
-        ones = ones.withColumn("n", F.when(F.col("n") >= 2, F.col("n")).otherwise(few))
-    else:
-        ones = ones.where(F.col("n") >= 2)
     row_total = totals.select("key", "what", F.col("col").alias("pos"), F.col("t").alias("ti"))
     moments = (
         sums.where(F.col("what").isin("aa", "bb"))
@@ -188,7 +261,8 @@ def redundancy_report(
         .join(row_total, ["key", "what", "pos"])
         .join(ones, "key")
     )
-    cov = (F.col("x") - F.col("ti") * F.col("t") / F.col("n")) / (F.col("n") - 1)
+    n = F.col("n")
+    cov = F.when(n > 1, (F.col("x") - F.col("ti") * F.col("t") / n) / (n - 1))
     on_diagonal = F.col("pos") == F.col("col")
     hinge = F.greatest(1.0 - F.sqrt(F.greatest(cov, F.lit(0.0)) + eps), F.lit(0.0))
     report = moments.groupBy("key").agg(
@@ -198,18 +272,13 @@ def redundancy_report(
         F.sum(F.when(on_diagonal, hinge)).alias("hinge"),
         F.sum(F.when(~on_diagonal, cov * cov)).alias("off"),
     )
-    sim = F.col("gap") / (F.col("n") * F.col("d"))
-    std = F.col("hinge") / F.col("d") * 0.5
-    off = F.coalesce(F.col("off"), F.lit(0.0)) / F.col("d")
-    out = report.select(
+    return report.select(
         "key",
         F.col("n").cast("bigint").alias("n_rows"),
-        sim.alias("sim"),
-        std.alias("std"),
-        off.alias("cov"),
-        (sim_coef * sim + std_coef * std + cov_coef * off).alias("total"),
+        (F.col("gap") / (F.col("n") * F.col("d"))).alias("sim"),
+        (F.col("hinge") / F.col("d") * 0.5).alias("std"),
+        (F.coalesce("off", F.lit(0.0)) / F.col("d")).alias("cov"),
     )
-    return out if key is not None else out.drop("key")
 
 
 # ---------------------------------------------------------------- whole reports

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,35 +85,27 @@ def group_cohesion(
 
     With S_a the vector sum of group a, the off-diagonal mean is
     (|S_a|^2 - sum |x|^2) / (m (m - 1)), and the cross mean follows from the S_a in the same way.
-    Sums are taken per (group, position): a hot group combines before the shuffle.
+    The summarizer merges partial sums before the shuffle, so a hot group sends one vector per task.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
     per_group = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(V.squared_norm(F.col(vector))).alias("self")
+        F.count(F.lit(1)).alias("m"),
+        F.sum(V.squared_norm(F.col(vector))).alias("self"),
+        Summarizer.sum(array_to_vector(V.doubles(F.col(vector)))).alias("s"),
     )
     eligible = per_group.where(F.col("m") >= min_tracks)
-    sums = (
-        rows.select(group, F.posexplode(V.doubles(F.col(vector))).alias("pos", "x"))
-        .groupBy(group, "pos")
-        .agg(F.sum("x").alias("s"))
-        .join(eligible, group)
-    )
-    squares = sums.groupBy(group).agg(
-        F.first("m").alias("m"), F.first("self").alias("self"), F.sum(F.col("s") ** 2).alias("sq")
-    )
+    squares = eligible.withColumn("sq", V.squared_norm(vector_to_array("s")))
     m = F.col("m")
-    groups = squares.agg(
+    both = squares.agg(
         F.avg((F.col("sq") - F.col("self")) / (m * (m - 1))).alias("intra"),
         F.count(F.lit(1)).alias("n_albums"),
         F.sum("m").alias("n"),
         F.sum(m * m).alias("mm"),
         F.sum("sq").alias("sq"),
+        V.squared_norm(vector_to_array(Summarizer.sum(F.col("s")))).alias("all"),
     )
-    whole = sums.groupBy("pos").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") ** 2).alias("all"))
     cross_pairs = F.col("n") * F.col("n") - F.col("mm")
     cross = F.when(cross_pairs > 0, (F.col("all") - F.col("sq")) / cross_pairs).otherwise(0.0)
-    # both sides are one row: a join on a constant
-    both = groups.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
     intra = F.coalesce(F.col("intra"), F.lit(0.0))
     cross = F.coalesce(cross, F.lit(0.0))
     return both.select(

@@ -9,17 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom import fixed_values as fixed
+from vecloom.operators.quantiles import exact_quantiles
 
 
-def latency_summary(timings: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """p50, p90, p95, min and mean. ``exact=False`` uses the mergeable quantile sketch."""
-    points = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))
-    quantiles = F.percentile(value, points) if exact else F.percentile_approx(value, points)
-    row = timings.groupBy(*keys).agg(
-        quantiles.alias("q"), F.min(value).alias("min"), F.avg(value).alias("mean")
-    )
+def latency_summary(timings: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = True, **kwargs) -> DataFrame:
+    """p50, p90, p95, min and mean. ``exact=False`` uses the mergeable quantile sketch.
+
+    Further arguments go to ``exact_quantiles``.
+    """
+    points = (0.5, 0.9, 0.95)
     named = [F.col("q")[i].alias(name) for i, name in enumerate(("p50", "p90", "p95"))]
-    return row.select(*keys, *named, "min", "mean")
+    ends = [F.min(value).alias("min"), F.avg(value).alias("mean")]
+    if not exact:
+        sketch = F.percentile_approx(value, list(points)).alias("q")
+        return timings.groupBy(*keys).agg(sketch, *ends).select(*keys, *named, "min", "mean")
+    quantiles = exact_quantiles(timings, value, points, keys, **kwargs)
+    plain = timings.groupBy(*keys).agg(*ends)
+    if not keys:
+        both = plain.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one")
+    else:
+        both = plain.join(quantiles, list(keys))
+    return both.select(*keys, *named, "min", "mean")
 
 
 def epoch_means(batches: DataFrame, epoch: str, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -717,6 +717,25 @@ def p3(spark, sf_dir):
     return views.select("id", "partner_id", "label", total("view1"), total("view2"))
 
 
+@query(
+    "p4_reseed",
+    f"""WITH {X.STORE_SQL}, base AS (SELECT vec_id AS id, artist FROM store), a AS (WITH {_pairs_sql('base', 0.6, 's/3/0')} SELECT * FROM pairs),
+    b AS (WITH {_pairs_sql('base', 0.6, 's/3/1')} SELECT * FROM pairs)
+    SELECT count(*) AS n_rows, count(*) FILTER (a.partner_id <> b.partner_id) AS n_changed FROM a JOIN b USING (id)""",
+)
+def p4(spark, sf_dir):
+    """Two workers of one epoch draw apart."""
+    store = X.store(spark, sf_dir)
+    draws = [
+        sampling.positive_pairs(store, 0.6, sampling.draw_seed("s", 3, worker), id_col="vec_id")
+        for worker in (0, 1)
+    ]
+    both = draws[0].join(draws[1].select("id", F.col("partner_id").alias("other")), "id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("partner_id") != F.col("other")).alias("n_changed")
+    )
+
+
 @query(
     "p5_epoch_batches",
     f"""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY {sql_salt('event_id', 4096, 's/1/0:order')}, md5(event_id || ':s/1/0:order'), event_id) - 1 AS place,
@@ -743,17 +762,25 @@ def p6(spark, sf_dir):
 # ---------------------------------------------------------------- reports
 
 
-@query(
-    "r1_latency_summary",
+_LATENCY_SQL = (
     "SELECT event_type, "
     + ", ".join(f"{sql_r6(f'quantile_cont(value, {q})')} AS {name}" for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95)))
-    + f", {sql_r6('min(value)')} AS min, {sql_r6('avg(value)')} AS mean FROM events GROUP BY event_type",
+    + f", {sql_r6('min(value)')} AS min, {sql_r6('avg(value)')} AS mean FROM events GROUP BY event_type"
 )
-def r1(spark, sf_dir):
-    got = reports.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query("r1_latency_summary", _LATENCY_SQL)
+def r1(spark, sf_dir, **kwargs):
+    got = reports.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"], **kwargs)
     return got.select("event_type", *[r6(F.col(c)).alias(c) for c in ("p50", "p90", "p95", "min", "mean")])
 
 
+@query("r1_latency_summary_spread", _LATENCY_SQL)
+def r1_spread(spark, sf_dir):
+    """The way more than a million timings go."""
+    return r1(spark, sf_dir, small_rows=0)
+
+
 _EPOCHS_SQL = "epochs AS (SELECT event_type, CAST(dayofyear(ts) AS INTEGER) AS epoch, avg(value) AS mean FROM events GROUP BY ALL)"
 
 
