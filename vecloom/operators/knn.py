@@ -157,13 +157,12 @@ def knn_join(
     plan.dim = len(first["v"])
     plan.block_rows = block_rows or max(256, min(16_384, BLOCK_BYTES // (4 * plan.dim)))
 
-    if probes is None:
-        block = c.limit(plan.block_rows + 1).toArrow()
-        if block.num_rows <= plan.block_rows:
-            return _one_block(q, block, plan)
+    n_rows = corpus.count()
+    if probes is None and n_rows <= plan.block_rows:
+        return _one_block(q, c.toArrow(), plan)
     if key:
-        return _keyed(q, c, plan)
-    return _celled(q, c, plan, pivots, probes)
+        return _keyed(q, c, plan, n_rows)
+    return _celled(q, c, plan, n_rows, pivots, probes)
 
 
 class _Plan:
@@ -436,7 +435,7 @@ def _finish(queries: DataFrame, scored: DataFrame, plan: _Plan) -> DataFrame:
 # ---- pairs restricted by a key
 
 
-def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan) -> DataFrame:
+def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan, n_rows: int) -> DataFrame:
     """Rows meet on the key. A key of more than one block is cut into blocks and query chunks;
     small keys share a unit, so a table of many tiny keys does not become many tiny calls."""
     rows = plan.block_rows
@@ -449,7 +448,6 @@ def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan) -> DataFrame:
         F.ceil(F.col("c_n") / rows).cast("int").alias("n_sub"),
         F.ceil(F.col("q_n") / rows).cast("int").alias("n_chunk"),
     )
-    n_rows = corpus.count()
     packs = max(1, math.ceil(2 * n_rows / rows))
     small = (F.col("n_sub") == 1) & (F.col("n_chunk") == 1)
     unit = F.when(small, F.pmod(F.xxhash64("g"), F.lit(packs))).otherwise(
@@ -477,16 +475,25 @@ def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan) -> DataFrame:
 
 
 def _celled(
-    queries: DataFrame, corpus: DataFrame, plan: _Plan, pivots: int | None, probes: int | None
+    queries: DataFrame,
+    corpus: DataFrame,
+    plan: _Plan,
+    n_rows: int,
+    pivots: int | None,
+    probes: int | None,
 ) -> DataFrame:
     spark = corpus.sparkSession
     rows, dim = plan.block_rows, plan.dim
-    n_rows = corpus.count()
     n_pivots = pivots or math.ceil(n_rows / rows)
     n_pivots = max(1, min(n_pivots, MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim)))
 
-    # Any pivots give the same answer. Hash order spreads them and is the same on every run.
-    picked = corpus.select("v").orderBy(F.xxhash64("v")).limit(4 * n_pivots).toArrow()
+    # Any pivots give the same answer, so a hashed share of the rows is enough to draw them from; it
+    # keeps the sort, and what comes to the driver, at a few rows per pivot.
+    share = min(1.0, 16.0 * n_pivots / max(1, n_rows))
+    drawn = corpus.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    picked = drawn.orderBy(F.xxhash64("id")).select("v").limit(4 * n_pivots).toArrow()
+    if not picked.num_rows:
+        picked = corpus.select("v").limit(1).toArrow()
     centers = np.unique(_matrix(picked.column("v"), dim), axis=0)[:n_pivots]
 
     c = materialize(_nearest(_distinct_corpus(corpus, plan.want), centers, dim), "cells")

@@ -96,14 +96,18 @@ def group_cohesion(
     eligible = per_group.where(F.col("m") >= min_tracks)
     squares = eligible.withColumn("sq", V.squared_norm(vector_to_array("s")))
     m = F.col("m")
+    # grouped by a constant: no eligible group gives no row rather than an empty summarizer
+    whole = squares.groupBy(F.lit(1).alias("_one")).agg(
+        V.squared_norm(vector_to_array(Summarizer.sum(F.col("s")))).alias("all")
+    )
     both = squares.agg(
         F.avg((F.col("sq") - F.col("self")) / (m * (m - 1))).alias("intra"),
         F.count(F.lit(1)).alias("n_albums"),
         F.sum("m").alias("n"),
         F.sum(m * m).alias("mm"),
         F.sum("sq").alias("sq"),
-        V.squared_norm(vector_to_array(Summarizer.sum(F.col("s")))).alias("all"),
-    )
+        F.lit(1).alias("_one"),
+    ).join(whole, "_one", "left")
     cross_pairs = F.col("n") * F.col("n") - F.col("mm")
     cross = F.when(cross_pairs > 0, (F.col("all") - F.col("sq")) / cross_pairs).otherwise(0.0)
     intra = F.coalesce(F.col("intra"), F.lit(0.0))
