@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
+from vecloom.functions.vectors import bind
 
 SPACE = r"(?U)\s+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -34,6 +35,8 @@ def _case_folds() -> dict[str, str]:
 
 _FOLDS = _case_folds()
 _FOLDED = "".join(_FOLDS)
+# quick test: the few Latin letters with a fold, or anything beyond Latin
+_MAY_FOLD = "[" + "".join(c for c in _FOLDS if c < "\u0250") + r"\x{250}-\x{10FFFF}]"
 
 
 def casefold(text: Column) -> Column:
@@ -41,14 +44,17 @@ def casefold(text: Column) -> Column:
 
     Sharp s is common and replaced at once; text with any of the rare others goes through a map.
     """
-    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     pairs = "\n".join(f"{k}\t{v}" for k, v in _FOLDS.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
-    folded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
-    )
-    plain = F.translate(lowered, _FOLDED, "") == lowered
-    return F.when(plain, lowered).otherwise(folded)
+
+    def fold(lowered: Column) -> Column:
+        letters = F.transform(
+            F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)
+        )
+        plain = ~lowered.rlike(_MAY_FOLD) | (F.translate(lowered, _FOLDED, "") == lowered)
+        return F.when(plain, lowered).otherwise(F.array_join(letters, ""))
+
+    return bind(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), fold)
 
 
 def clean_value(text: Column) -> Column:

@@ -181,12 +181,14 @@ def norm_audit(df: DataFrame, vector: str = "embedding", eps: float = 1e-3) -> D
     )
 
 
-def mean_pool(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
-    """Element-wise mean of the vectors of every group, renormalized.
+def mean_vector(vector: str) -> Column:
+    """Aggregate: element-wise mean. Partial means merge before the shuffle, one vector per group
+    and task travels. NULL vectors must be filtered out."""
+    return vector_to_array(Summarizer.mean(array_to_vector(doubles(F.col(vector)))))
 
-    The summarizer merges partial means before the shuffle: one vector per group and task travels.
-    """
+
+def mean_pool(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
+    """Element-wise mean of the vectors of every group, renormalized."""
     rows = df.where(F.col(vector).isNotNull())
-    mean = Summarizer.mean(array_to_vector(doubles(F.col(vector))))
-    pooled = rows.groupBy(*keys).agg(vector_to_array(mean).alias(vector))
+    pooled = rows.groupBy(*keys).agg(mean_vector(vector).alias(vector))
     return pooled.withColumn(vector, l2_normalize(F.col(vector)))

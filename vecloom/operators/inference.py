@@ -45,7 +45,7 @@ def batched_inference(
         return_type=T.ArrayType(element),
         batch_size=batch_size,
         input_tensor_shapes=[[window]],
-    )
+    ).asNondeterministic()  # or a later filter on the vector would run the model a second time
     good = F.col(column).isNotNull() & (F.size(column) == window)
     blank = F.array_repeat(F.lit(0.0).cast("float"), window)
     safe = windows.withColumn("_ok", F.coalesce(good, F.lit(False))).withColumn(

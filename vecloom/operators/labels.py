@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import id_to_path, path_to_id, relative_path
-from vecloom.functions.vectors import mean_pool
+from vecloom.functions.vectors import l2_normalize, mean_vector
 from vecloom.functions.windows import estimate_samples, plan_windows
 from vecloom.operators.ranking import global_positions
 
@@ -151,15 +151,16 @@ def expand_windows(
 
 def aggregate_windows_to_tracks(windows: DataFrame, vector: str = "embedding") -> DataFrame:
     """One pooled vector per track, with the path and label of its first window."""
-    pooled = mean_pool(windows, ["fma_track_id"], vector)
-    first = windows.groupBy("fma_track_id").agg(
+    rows = windows.where(F.col(vector).isNotNull())
+    tracks = rows.groupBy("fma_track_id").agg(
+        mean_vector(vector).alias(vector),
         F.min_by("path", "window_index").alias("path"),
         F.min_by("genre_top", "window_index").alias("genre"),
         F.count(F.lit(1)).alias("n_windows"),
     )
     track_id = F.format_string("fma-%06d", F.col("fma_track_id").cast("bigint"))
-    return pooled.join(first, "fma_track_id").select(
-        track_id.alias("track_id"), "path", "genre", "n_windows", vector
+    return tracks.select(
+        track_id.alias("track_id"), "path", "genre", "n_windows", l2_normalize(F.col(vector)).alias(vector)
     )
 
 

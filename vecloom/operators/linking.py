@@ -62,6 +62,7 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
         .join(albums, ["t", "r"])
         .dropDuplicates(["cand", "t", "b"])
     )
+    by_album = materialize(by_album, "albums")
     spread = by_album.withColumn("w", F.explode("words"))
     asks_w = left.withColumn("w", F.explode("words"))
     known_artist = F.size("words") > 0
@@ -96,6 +97,7 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
             for i, (stage, bonus, ask, _, keys) in enumerate(sets)
         ],
     )
+    asks = materialize(asks, "asks")
     offered = reduce(
         DataFrame.unionByName,
         [tagged(offer, i, keys, "cand", "length", "base") for i, (_, _, _, offer, keys) in enumerate(sets)],
@@ -135,6 +137,7 @@ def best_by_duration(asks: DataFrame, offers: DataFrame) -> DataFrame:
     per_length = offers.groupBy("key", "length").agg(
         F.min(F.struct((-F.col("base")).alias("minus"), "cand")).alias("o")
     ).select("key", "length", (-F.col("o.minus")).alias("base"), "o.cand")
+    per_length = materialize(per_length, "offers")
     entry = F.struct((-F.col("base")).alias("minus"), "cand", "length")
     overall = per_length.groupBy("key").agg(
         F.min(entry).alias("any"), F.min(F.when(F.col("length") == 0, entry)).alias("unknown")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
 from vecloom.plans.registry import table
+from vecloom.session import spread
 
 # ---- an embedding store with tags
 
@@ -120,7 +121,7 @@ SIGNAL_SQL = """signals AS (
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.transform(F.split("text", " "), lambda t: F.length(t).cast("float"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", s.alias("s"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", s.alias("s"))
 
 
 # ---- collected titles and URLs: ids and titles both repeat

@@ -14,7 +14,7 @@ from vecloom.operators import labels as L
 from vecloom.operators.ranking import global_positions, group_positions
 from vecloom.plans import fixtures as X
 from vecloom.plans.registry import query, r6, sql_r6, sql_salt, sql_uniform, table
-from vecloom.session import scratch_path
+from vecloom.session import scratch_path, spread
 from vecloom.sources import files as files_source
 from vecloom.sources import store as store_source
 from vecloom.sources import tables as tables_source
@@ -291,7 +291,7 @@ def s15(spark, sf_dir):
 @query("h1_content_fingerprint")
 def h1(spark, sf_dir):
     content = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", H.content_fingerprint(content, 1024).alias("track_id"),
         H.content_fingerprint_seed0(content, 1024).alias("seed0_id"),
     )
@@ -307,7 +307,7 @@ def h1(spark, sf_dir):
 )
 def h1_sha(spark, sf_dir):
     content = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", H.content_fingerprint_sha(content, 1024).alias("track_id")
     )
 

@@ -13,6 +13,7 @@ from vecloom.functions.hashing import resolution_cache_key, video_id_from_url
 from vecloom.operators import curation, linking
 from vecloom.plans import fixtures as X
 from vecloom.plans.registry import query, r6, sql_r6, table
+from vecloom.session import spread
 
 # white space as Spark's Unicode classes see it, written out for RE2
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -27,7 +28,7 @@ def _md5(column):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("h7_video_id", f"WITH {X.TITLES_SQL} SELECT seq, substr(url, 27, 11) AS video_id FROM titles UNION ALL SELECT page_id, NULL FROM pages")
