@@ -511,3 +511,10 @@ def test_log_mel(spark):
     loudest = got[1][:, 10].argmax()
     assert filters[:, loudest].argmax() * 24_000 / 1024 == pytest.approx(440, abs=40)
     assert np.abs(got[2]).max() < 1e-6
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from vecloom import session
+
+    df = session.materialize(spark.range(3).toDF("id"), "t")
+    assert df.count() == 3 and session.drop_scratch(spark) >= 1 and session.drop_scratch(spark) == 0

@@ -19,6 +19,8 @@ from vecloom.functions import vectors as V
 from vecloom.operators import knn, metrics
 from vecloom.operators.knn import _matrix
 from vecloom.operators.quantiles import exact_quantiles
+from vecloom.operators.rows import one_row
+from vecloom.session import materialize
 
 
 def pair_views(
@@ -34,9 +36,8 @@ def cosine_summary(pairs: DataFrame, normalized: bool = False) -> DataFrame:
     """Mean, minimum and quartiles (linear interpolation) of the row-wise products."""
     score = V.cosine if normalized else V.dot
     cos = pairs.select(score(F.col("a"), F.col("b")).alias("c"))
-    one = F.lit(1).alias("_one")
-    ends = cos.agg(F.avg("c").alias("cosine_mean"), F.min("c").alias("cosine_min")).select("*", one)
-    row = ends.join(exact_quantiles(cos, "c", (0.25, 0.5, 0.75)).select("*", one), "_one")
+    ends = cos.agg(F.avg("c").alias("cosine_mean"), F.min("c").alias("cosine_min"))
+    row = one_row(ends, exact_quantiles(cos, "c", (0.25, 0.5, 0.75)))
     return row.select(
         "cosine_mean",
         "cosine_min",
@@ -62,8 +63,7 @@ def cosine_loss(pairs: DataFrame) -> DataFrame:
 
 def distillation_loss(pairs: DataFrame, relational_weight: float = 0.25) -> DataFrame:
     """Cosine loss plus the weighted relational error, over all rows."""
-    one = F.lit(1).alias("_one")
-    both = cosine_loss(pairs).select("*", one).join(relational_mse(pairs).select("*", one), "_one")
+    both = one_row(cosine_loss(pairs), relational_mse(pairs))
     total = F.col("cosine_loss") + relational_weight * F.col("relational_mse")
     return both.select("cosine_loss", "relational_mse", total.alias("loss"))
 
@@ -303,19 +303,21 @@ def compare_report(
     sizes = a.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("labels")).first()
     n = sizes["n"]
     ks = [k for k in k_values if k < n]
-    one = F.lit(1).alias("_one")
-    out = summary.select(F.lit(n).cast("bigint").alias("n_rows"), "*", one)
+    parts = [summary.select(F.lit(n).cast("bigint").alias("n_rows"), "*")]
     if ks and n > 2 and sizes["labels"] > 1:
         labels = a.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+        # each side is used for overlap and for recall: its neighbours are computed once
         near = [
-            knn.knn_join(
-                side, side, max(ks), query_id=id_col, corpus_id=id_col, vector=vector, exclude_self=True
+            materialize(
+                knn.knn_join(
+                    side, side, max(ks), query_id=id_col, corpus_id=id_col, vector=vector, exclude_self=True
+                ),
+                "near",
             )
             for side in (a, b)
         ]
-        out = out.join(metrics.neighbour_overlap(*near, n, ks).select("*", one), "_one")
+        parts.append(metrics.neighbour_overlap(*near, n, ks))
         for name, side in zip(("a", "b"), near):
             recall = metrics.recall_at_k(side, labels, ks)
-            renamed = recall.select(*[F.col(c).alias(f"{name}_{c}") for c in recall.columns], one)
-            out = out.join(renamed, "_one")
-    return out.drop("_one")
+            parts.append(recall.select(*[F.col(c).alias(f"{name}_{c}") for c in recall.columns]))
+    return one_row(*parts)

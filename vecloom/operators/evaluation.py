@@ -11,6 +11,7 @@ from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import relative_path
 from vecloom.operators import knn, metrics
 from vecloom.operators.labels import align_labels, align_tags
+from vecloom.operators.rows import one_row
 
 
 def eval_report(
@@ -45,7 +46,7 @@ def eval_report(
     versions = F.array_join(F.array_sort(F.collect_set("model_version")), ",")
     head = store.agg(F.count(F.lit(1)).alias("n_store"), versions.alias("model_versions"))
     known = [F.lit(v).cast("bigint").alias(name) for name, v in sizes.asDict().items()]
-    head = head.select("n_store", *known, "model_versions", F.lit(1).alias("_one"))
+    head = head.select("n_store", *known, "model_versions")
 
     if mode == "library":
         body = metrics.group_cohesion(aligned, "album")
@@ -60,4 +61,4 @@ def eval_report(
                 F.col("track_id").alias("_row"), relative_path(F.col("path"), root).alias("mp3_path")
             ).join(tags, "mp3_path")
             body = metrics.tag_jaccard_at_k(near, tagged, k_values, id_col="_row")
-    return head.join(body.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return one_row(head, body)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
 from vecloom.functions import vectors as V
+from vecloom.operators.rows import one_row
 
 
 def recall_at_k(
@@ -97,17 +98,15 @@ def group_cohesion(
     squares = eligible.withColumn("sq", V.squared_norm(vector_to_array("s")))
     m = F.col("m")
     # grouped by a constant: no eligible group gives no row rather than an empty summarizer
-    whole = squares.groupBy(F.lit(1).alias("_one")).agg(
-        V.squared_norm(vector_to_array(Summarizer.sum(F.col("s")))).alias("all")
-    )
-    both = squares.agg(
+    totals = squares.groupBy(F.lit(1).alias("_one")).agg(
         F.avg((F.col("sq") - F.col("self")) / (m * (m - 1))).alias("intra"),
         F.count(F.lit(1)).alias("n_albums"),
         F.sum("m").alias("n"),
         F.sum(m * m).alias("mm"),
         F.sum("sq").alias("sq"),
-        F.lit(1).alias("_one"),
-    ).join(whole, "_one", "left")
+        V.squared_norm(vector_to_array(Summarizer.sum(F.col("s")))).alias("all"),
+    )
+    both = one_row(totals)
     cross_pairs = F.col("n") * F.col("n") - F.col("mm")
     cross = F.when(cross_pairs > 0, (F.col("all") - F.col("sq")) / cross_pairs).otherwise(0.0)
     intra = F.coalesce(F.col("intra"), F.lit(0.0))
@@ -116,7 +115,7 @@ def group_cohesion(
         intra.alias("intra_mean"),
         cross.alias("cross_mean"),
         (intra - cross).alias("gap"),
-        F.col("n_albums").cast("bigint").alias("n_albums"),
+        F.coalesce(F.col("n_albums"), F.lit(0)).cast("bigint").alias("n_albums"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_tracks"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vecloom import fixed_values as fixed
 from vecloom.operators.quantiles import exact_quantiles
+from vecloom.operators.rows import one_row
 
 
 def latency_summary(timings: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = True, **kwargs) -> DataFrame:
@@ -25,10 +26,7 @@ def latency_summary(timings: DataFrame, value: str, keys: Sequence[str] = (), ex
         return timings.groupBy(*keys).agg(sketch, *ends).select(*keys, *named, "min", "mean")
     quantiles = exact_quantiles(timings, value, points, keys, **kwargs)
     plain = timings.groupBy(*keys).agg(*ends)
-    if not keys:
-        both = plain.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one")
-    else:
-        both = plain.join(quantiles, list(keys))
+    both = plain.join(quantiles, list(keys)) if keys else one_row(plain, quantiles)
     return both.select(*keys, *named, "min", "mean")
 
 

@@ -52,13 +52,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to a fresh Parquet folder and read it back: later reads prune columns."""
+    """Write to a fresh Parquet folder and read it back: later reads prune columns.
+
+    The folder stays for as long as results may read it; ``drop_scratch`` removes it.
+    """
     path = scratch_path(df.sparkSession, name)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session, once their results are no longer needed."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _SCRATCH:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        dropped += bool(target.getFileSystem(hadoop).delete(target, True))
+    return dropped
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a source with fewer splits than cores, dealt out evenly for costly per-row work.
 
