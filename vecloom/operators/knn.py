@@ -31,6 +31,7 @@ BLOCK_BYTES = 4 << 20
 MAX_PIVOT_BYTES = 16 << 20
 MAX_PIVOTS = 1024
 SCORE_CELLS = 4_000_000
+PAIRS_PER_TASK = 200_000_000
 
 
 # ---------------------------------------------------------------- one query
@@ -222,24 +223,30 @@ def _block_topk(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Yield (query row, flat id index, score) of the best k ids per query, best first.
 
-    Corpus row j owns ``copies[j]`` consecutive flat ids; ``id_order`` ranks the flat ids.
+    Corpus row j owns ``copies[j]`` consecutive flat ids; ``id_order`` ranks the flat ids. A 32-bit
+    product picks the candidates, wider than needed by its error bound; their scores are then
+    computed in 64 bits. With a ``floor`` (a score k ids are known to reach) no selection is needed.
     """
     n, m = len(q), len(c)
     if not n or not m:
         return
     starts = np.cumsum(copies) - copies
+    small_c = c.astype(np.float32).T
     largest = np.sqrt((c * c).sum(axis=1).max())
+    error = 2 * (q.shape[1] + 8) * 2.0**-24
     step = max(1, SCORE_CELLS // m)
     for lo in range(0, n, step):
         part = q[lo : lo + step]
-        scores = part @ c.T
+        scores = part.astype(np.float32) @ small_c
         limit = np.full(len(part), -np.inf)
-        if m > k:
-            limit = np.partition(scores, m - k, axis=1)[:, m - k]
         if floor is not None:
-            limit = np.maximum(limit, floor[lo : lo + step])
-        slack = 1e-9 * (np.sqrt((part * part).sum(axis=1)) * largest + 1e-300)
-        rows, cols = np.nonzero(scores >= (limit - slack)[:, None])
+            limit = floor[lo : lo + step].copy()
+        blind = np.isneginf(limit)
+        if m > k and blind.any():
+            limit[blind] = np.partition(scores[blind], m - k, axis=1)[:, m - k]
+        slack = error * (np.sqrt((part * part).sum(axis=1)) * largest + 1e-30)
+        bar = np.nextafter((limit - slack).astype(np.float32), np.float32(-np.inf))
+        rows, cols = np.nonzero(scores >= bar[:, None])
         exact = np.empty(len(rows))
         hop = max(1, SCORE_CELLS // q.shape[1])
         for at in range(0, len(rows), hop):
@@ -350,7 +357,17 @@ def _distinct_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def _score_units(queries: DataFrame, corpus: DataFrame, plan: _Plan) -> DataFrame:
+UNIT = ["unit", "sub", "chunk"]
+
+
+def _by_unit(df: DataFrame, pairs: float) -> DataFrame:
+    """Partition by unit, at about ``PAIRS_PER_TASK`` scores per task. Units are small in bytes and
+    large in work: sized by bytes, adaptive execution would put most of them into one task."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(conf, min(math.ceil(pairs / PAIRS_PER_TASK), 100_000)), *UNIT)
+
+
+def _score_units(queries: DataFrame, corpus: DataFrame, plan: _Plan, pairs: float) -> DataFrame:
     """Both sides carry ``unit, sub, chunk, g``; a unit is bounded on either side."""
     dim, want = plan.dim, plan.want
     schema = T.StructType(
@@ -404,8 +421,8 @@ def _score_units(queries: DataFrame, corpus: DataFrame, plan: _Plan) -> DataFram
             )
         return pa.concat_tables(out)
 
-    unit = ["unit", "sub", "chunk"]
-    return queries.groupBy(*unit).cogroup(corpus.groupBy(*unit)).applyInArrow(score, schema)
+    left, right = _by_unit(queries, pairs), _by_unit(corpus, pairs)
+    return left.groupBy(*UNIT).cogroup(right.groupBy(*UNIT)).applyInArrow(score, schema)
 
 
 def _flat_ids(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
@@ -468,7 +485,7 @@ def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan, n_rows: int) -> D
         "unit", "sub", "chunk", "g", "vid", "v", F.lit(float("-inf")).alias("floor")
     )
     right = sides[1].select("unit", "sub", "chunk", "g", "v", "ids")
-    return _finish(queries, _score_units(left, right, plan), plan)
+    return _finish(queries, _score_units(left, right, plan, float(n_rows) * rows), plan)
 
 
 # ---- no key: cells around pivots
@@ -484,7 +501,7 @@ def _celled(
 ) -> DataFrame:
     spark = corpus.sparkSession
     rows, dim = plan.block_rows, plan.dim
-    n_pivots = pivots or math.ceil(n_rows / rows)
+    n_pivots = pivots or math.ceil(4 * n_rows / rows)
     n_pivots = max(1, min(n_pivots, MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim)))
 
     # Any pivots give the same answer, so a hashed share of the rows is enough to draw them from; it
@@ -524,6 +541,7 @@ def _celled(
         plan,
         spark.sparkContext.broadcast((centers, radius, sizes, n_sub)),
         probes,
+        float(sum(q_sizes.get(i, 0) * sizes[i] / n_sub[i] for i in range(len(centers)))),
     )
     home = materialize(home, "home")
     near = home.select("vid", F.explode("hits").alias("h")).select("vid", "h.neighbor_id", "h.score")
@@ -535,7 +553,8 @@ def _celled(
     demand = {r["unit"]: r["count"] for r in visits.select("unit").groupBy("unit").count().collect()}
     if not demand:
         return _finish(queries, near, plan)
-    waves = F.array(*[F.lit(max(1, math.ceil(demand.get(i, 0) / rows))) for i in range(len(centers))])
+    n_waves = [max(1, math.ceil(demand.get(i, 0) / rows)) for i in range(len(centers))]
+    waves = F.array(*[F.lit(n) for n in n_waves])
     asked = (
         visits.withColumn("chunk", F.pmod(F.xxhash64("vid", "unit"), F.get(waves, F.col("unit"))).cast("int"))
         .withColumn("sub", F.explode(F.sequence(F.lit(0), F.get(subs, F.col("unit")) - 1)))
@@ -550,7 +569,8 @@ def _celled(
         "v",
         "ids",
     )
-    far = _score_units(asked, offered, plan)
+    pairs = float(sum(demand.get(i, 0) * sizes[i] for i in range(len(centers))))
+    far = _score_units(asked, offered, plan, pairs)
     return _finish(queries, near.unionByName(far), plan)
 
 
@@ -578,7 +598,7 @@ def _nearest(df: DataFrame, centers: np.ndarray, dim: int) -> DataFrame:
 
 
 def _home_answers(
-    queries: DataFrame, blocks: DataFrame, plan: _Plan, shared, probes: int | None
+    queries: DataFrame, blocks: DataFrame, plan: _Plan, shared, probes: int | None, pairs: float
 ) -> DataFrame:
     """Answer every query in one block of its cell; list the cells that could still improve it."""
     dim, want = plan.dim, plan.want
@@ -653,8 +673,8 @@ def _home_answers(
         out = answer(left, right)
         return out if out is not None else _empty_home(left, right)
 
-    unit = ["unit", "sub", "chunk"]
-    return queries.groupBy(*unit).cogroup(blocks.groupBy(*unit)).applyInArrow(guarded, schema)
+    left, right = _by_unit(queries, pairs), _by_unit(blocks, pairs)
+    return left.groupBy(*UNIT).cogroup(right.groupBy(*UNIT)).applyInArrow(guarded, schema)
 
 
 def _empty_home(left: pa.Table, right: pa.Table) -> pa.Table:
