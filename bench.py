@@ -10,7 +10,7 @@ import os
 import time
 
 from vecloom.plans import catalog
-from vecloom.session import build_session
+from vecloom.session import build_session, drop_scratch
 
 HEADLINE = (
     "m1_recall_at_k",
@@ -66,6 +66,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_scratch(spark)
     result = {
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),

@@ -204,6 +204,14 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def _positions(groups: np.ndarray) -> dict[str, np.ndarray]:
+    """Row numbers of every group, from one sort."""
+    names, codes = np.unique(groups.astype(str), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(1, len(names)))
+    return dict(zip(names.tolist(), np.split(order, ends)))
+
+
 def _row_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise products whose last bit does not depend on the block shape."""
     out = np.empty(len(a))
@@ -287,15 +295,14 @@ def _one_block(queries: DataFrame, block: pa.Table, plan: _Plan) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, corpus, groups, order = shared.value
-        members = {g: np.nonzero(groups == g)[0] for g in set(groups)}
+        members = _positions(groups)
         for batch in batches:
             q = _matrix(batch.column("v"), dim)
             q_groups = np.asarray(batch.column("g").to_pylist(), dtype=object)
-            for g in set(q_groups):
+            for g, at in _positions(q_groups).items():
                 mine = members.get(g)
                 if mine is None:
                     continue
-                at = np.nonzero(q_groups == g)[0]
                 ones = np.ones(len(mine), dtype=np.int64)
                 for rows, flat, score in _block_topk(q[at], corpus[mine], ones, order[mine], want):
                     q_ids = batch.column("id").take(pa.array(at[rows]))
@@ -382,13 +389,9 @@ def _score_units(queries: DataFrame, corpus: DataFrame, plan: _Plan, pairs: floa
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            l_g = np.asarray(left.column("g").to_pylist(), dtype=object)
-            r_g = np.asarray(right.column("g").to_pylist(), dtype=object)
-            for g in set(l_g):
-                lt = left.filter(pa.array(l_g == g))
-                rt = right.filter(pa.array(r_g == g))
-                if not rt.num_rows:
-                    continue
+            sides = [_positions(np.asarray(t.column("g").to_pylist())) for t in (left, right)]
+            for g in sides[0].keys() & sides[1].keys():
+                lt, rt = left.take(pa.array(sides[0][g])), right.take(pa.array(sides[1][g]))
                 ids, copies = _flat_ids(rt)
                 floor = lt.column("floor").to_numpy()
                 parts = _block_topk(

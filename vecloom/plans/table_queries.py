@@ -172,7 +172,7 @@ def s7(spark, sf_dir):
     "s7_ingest_counters",
     f"""WITH {_INGEST_SQL}, lim AS (SELECT string_split(path, '/') AS p FROM marked WHERE status = 'new' ORDER BY 1 LIMIT 100)
     SELECT count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'skipped_existing') AS n_skipped_existing,
-    count(*) FILTER (status = 'failed') AS n_failed FROM marked WHERE string_split(path, '/') <= (SELECT max(p) FROM lim)""",
+    count(*) FILTER (status = 'failed') AS n_failed FROM marked WHERE string_split(path, '/') <= (SELECT max(p) FROM lim) OR (SELECT count(*) FROM lim) < 100""",
 )
 def s7_counters(spark, sf_dir):
     """A run that stops after 100 new files."""
@@ -196,6 +196,16 @@ def s8(spark, sf_dir):
     return _store_rows(store_source.scan_store(spark, path))
 
 
+@query(
+    "s9_label_index",
+    f"WITH {X.LABELS_SQL} SELECT fma_track_id, subset, split, genre_top, artist_id FROM labels_dim",
+)
+def s9(spark, sf_dir):
+    """The columns of a label file under their two-level names; reading such a file is in the tests."""
+    names = {"subset": "set.subset", "split": "set.split", "genre_top": "track.genre_top", "artist_id": "artist.id"}
+    return tables_source.label_index(X.labels_dim(spark, sf_dir).withColumnsRenamed(names))
+
+
 _WIDE = fixed.BENCHMARK_TAGS
 
 
