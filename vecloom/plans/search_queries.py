@@ -285,7 +285,7 @@ def k4(spark, sf_dir):
 @query("k4_knn_join_cells", _near_rows_sql(20))
 def k4_cells(spark, sf_dir):
     """The way a corpus of more than one block goes, forced by a small block."""
-    return _rounded(_near(_embeddings(spark, sf_dir), 20, block_rows=256))
+    return _rounded(_near(_embeddings(spark, sf_dir), 20, block_rows=256, pivots=8))
 
 
 @query("k5_knn_join_by_key", _near_rows_sql(10, "AND a.label = b.label"))
