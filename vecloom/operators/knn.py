@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +49,8 @@ def cosine_topk(
 ) -> DataFrame:
     """The k rows with the highest inner product, 0-based ``rank``; ties go to the smaller id.
 
-    Excluded rows are removed. Scan, score and ``TakeOrderedAndProject``: nothing is shuffled.
+    Excluded rows are removed. Every task scores its rows in Arrow batches (many times faster than
+    array lambdas) and passes on its best k; ``TakeOrderedAndProject`` merges them. No row is shuffled.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -60,16 +62,29 @@ def cosine_topk(
             rows = rows.join(exclude.select(id_col), id_col, "left_anti")
         elif len(exclude):
             rows = rows.where(~F.col(id_col).isin(list(exclude)))
-    width = len(query)
-    wrong = F.raise_error(
-        F.concat(
-            F.lit(f"embedding_dim mismatch: query has {width}, store has "),
-            F.size(vector).cast("string"),
-        )
-    ).cast("double")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    score = F.when(F.size(vector) == width, V.dot(F.col(vector), q)).otherwise(wrong)
-    hits = rows.withColumn("score", score).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+    q = np.asarray(query, dtype=np.float64)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            v = _matrix(batch.column(vector), len(q))
+            scores = v @ q
+            at = np.arange(len(scores))
+            if len(scores) > k:
+                limit = np.partition(scores, len(scores) - k)[len(scores) - k]
+                longest = np.sqrt(np.einsum("ij,ij->i", v, v).max() * (q @ q))
+                at = np.nonzero(scores >= limit - (len(q) + 8) * 2.0**-51 * longest)[0]
+            exact = _row_dot(v[at], np.broadcast_to(q, (len(at), len(q))))
+            part = pa.Table.from_batches([batch]).take(pa.array(at))
+            part = part.append_column("score", pa.array(exact))
+            kept = part if kept is None else pa.concat_tables([kept, part])
+            order = pc.sort_indices(kept, sort_keys=[("score", "descending"), (id_col, "ascending")])
+            kept = kept.take(order[:k])
+        if kept is not None:
+            yield from kept.to_batches()
+
+    hits = rows.mapInArrow(best, schema).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
     # at most k rows are left here
     order = Window.orderBy(F.desc("score"), F.asc(id_col))
     return hits.withColumn("rank", (F.row_number().over(order) - 1).cast("int"))
@@ -85,8 +100,8 @@ def search(
     """Search hits of a store, with their tags. An empty store gives no rows."""
     if model_version is not None:
         store = store.where(F.col("model_version") == model_version)
-    hits = cosine_topk(store, query, k, exclude=exclude_ids)
     tags = [c for c in ("path", "title", "artist", "album", "genre") if c in store.columns]
+    hits = cosine_topk(store.select("track_id", *tags, "embedding"), query, k, exclude=exclude_ids)
     return hits.select("rank", "track_id", *tags, "score")
 
 
@@ -273,8 +288,6 @@ def _block_topk(
 
 def _order_of(ids: pa.Array) -> np.ndarray:
     """Position of each id in ascending order."""
-    import pyarrow.compute as pc
-
     order = np.asarray(pc.array_sort_indices(ids))
     out = np.empty(len(order), dtype=np.int64)
     out[order] = np.arange(len(order))
@@ -309,8 +322,6 @@ def _one_block(queries: DataFrame, block: pa.Table, plan: _Plan) -> DataFrame:
                     n_ids = ids.take(pa.array(mine[flat]))
                     keep = np.ones(len(rows), dtype=bool)
                     if drop_self and comparable:
-                        import pyarrow.compute as pc
-
                         keep = ~np.asarray(pc.equal(q_ids, n_ids))
                     rows, score = rows[keep], score[keep]
                     q_ids, n_ids = q_ids.filter(pa.array(keep)), n_ids.filter(pa.array(keep))

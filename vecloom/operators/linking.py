@@ -23,7 +23,7 @@ from vecloom.functions.linkage import norm_text, tokens
 from vecloom.session import materialize
 
 CAP_MS = 30_000
-GRAM = 3
+GRAM = 6
 
 
 def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixed.LINK_MIN_SCORE) -> DataFrame:
