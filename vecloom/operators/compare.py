@@ -32,10 +32,28 @@ def pair_views(
     return left.join(right, "id").where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
+def _cosines(pairs: DataFrame, normalized: bool) -> DataFrame:
+    """``c``: product or cosine of every pair of vectors, in Arrow batches."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dim = len(batch.column("a")[0])
+            a, b = _matrix(batch.column("a"), dim), _matrix(batch.column("b"), dim)
+            c = (a * b).sum(axis=1)
+            if normalized:
+                lengths = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+                c = c / np.maximum(lengths, V.TINY)
+            yield pa.RecordBatch.from_arrays([pa.array(c)], names=["c"])
+
+    return pairs.select("a", "b").mapInArrow(score, "c double")
+
+
 def cosine_summary(pairs: DataFrame, normalized: bool = False) -> DataFrame:
     """Mean, minimum and quartiles (linear interpolation) of the row-wise products."""
-    score = V.cosine if normalized else V.dot
-    cos = pairs.select(score(F.col("a"), F.col("b")).alias("c"))
+    # one number per row is kept, so the vectors are joined and read once for mean and quartiles
+    cos = materialize(_cosines(pairs, normalized), "cosines")
     ends = cos.agg(F.avg("c").alias("cosine_mean"), F.min("c").alias("cosine_min"))
     row = one_row(ends, exact_quantiles(cos, "c", (0.25, 0.5, 0.75)))
     return row.select(
@@ -54,11 +72,11 @@ def cosine_gate(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def view_cosine(pairs: DataFrame) -> DataFrame:
     """Mean normalized cosine of the two views of a row."""
-    return pairs.agg(F.avg(V.cosine(F.col("a"), F.col("b"))).alias("view_cosine"))
+    return _cosines(pairs, normalized=True).agg(F.avg("c").alias("view_cosine"))
 
 
 def cosine_loss(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.avg(1.0 - V.cosine(F.col("a"), F.col("b"))).alias("cosine_loss"))
+    return _cosines(pairs, normalized=True).agg(F.avg(1.0 - F.col("c")).alias("cosine_loss"))
 
 
 def distillation_loss(pairs: DataFrame, relational_weight: float = 0.25) -> DataFrame:
