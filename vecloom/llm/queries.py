@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import winnow
+from vecloom.llm import minhash, winnow
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -62,3 +62,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query(
+    "op3_near_duplicates",
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, range(1, greatest(len(w) - 4, least(len(w), 1)) + 1) AS r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id
+          JOIN n nb ON nb.doc_id = b.doc_id GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_duplicates(tracks(table(spark, sf_dir, "documents")))
+    return groups.withColumnRenamed("track_id", "doc_id")
