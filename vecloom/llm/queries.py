@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import minhash, winnow
+from vecloom.llm import minhash, pii, winnow
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -82,3 +82,17 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(tracks(table(spark, sf_dir, "documents")))
     return groups.withColumnRenamed("track_id", "doc_id")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(tracks(table(spark, sf_dir, "documents")))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select(
+        F.col("track_id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
