@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import minhash, pii, winnow
+from vecloom.llm import language, minhash, pii, winnow
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -96,3 +96,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("track_id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = language.identify_language(tracks(documents), tracks(documents.filter(~held_out), "lang"))
+    return found.select(
+        F.col("track_id").alias("doc_id"),
+        (F.crc32(F.col("track_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
