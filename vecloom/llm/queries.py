@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import language, minhash, pii, winnow
+from vecloom.llm import language, minhash, mixing, pii, winnow
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -109,3 +109,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred",
         "score",
     )
+
+
+#: shares of the label classes in the mixture
+MIXTURE = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """Labels as track records: toxic, else good or poor by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select(F.col("doc_id").alias("track_id"), domain.alias("genre_top"))
+
+
+def mixture(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    mixed = mixing.mix_to_targets(tracks(documents), label_domains(labels), MIXTURE)
+    shares = [F.col("posterior")[d].alias(f"p_{d}") for d in MIXTURE]
+    return mixed.select(F.col("track_id").alias("doc_id"), "n_tokens", *shares, "rate")
+
+
+@query("op7_mixture")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
