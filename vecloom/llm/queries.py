@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import language, minhash, mixing, pii, winnow
+from vecloom.llm import language, minhash, mixing, pii, rules, winnow
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -130,3 +130,9 @@ def mixture(documents: DataFrame, labels: DataFrame) -> DataFrame:
 @query("op7_mixture")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality")
+    return rules.apply_quality_rules(tracks(table(spark, sf_dir, "documents")), labels).withColumnRenamed("track_id", "doc_id")
