@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import language, minhash, mixing, pii, rules, winnow
+from vecloom.llm import chat, language, minhash, mixing, ngram, pii, rules, winnow
+from vecloom.llm.lookup import rows_of
 from vecloom.plans.registry import table
 
 QUERIES = {}
@@ -136,3 +137,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality")
     return rules.apply_quality_rules(tracks(table(spark, sf_dir, "documents")), labels).withColumnRenamed("track_id", "doc_id")
+
+
+_AWKWARD = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op9_chat_format",
+    rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_AWKWARD}' UNION ALL SELECT -7, 1, 'assistant', '{_AWKWARD}'),
+sizes AS (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 2 * length(role) END
+            + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</', '\</')) + length('### : </turn>') + 1 AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sizes GROUP BY conv_id
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", _AWKWARD), (-7, 1, "assistant", _AWKWARD)], given.schema)
+    return chat.read_back(chat.format_conversations(given.unionByName(added)))
+
+
+@query("op4_perplexity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = tracks(table(spark, sf_dir, "documents"), "lang")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("track_id"))
+    judged = ngram.judge_perplexity(documents, rows_of(documents, good, "track_id"))
+    return judged.withColumnRenamed("track_id", "doc_id")
