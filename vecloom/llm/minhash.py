@@ -29,6 +29,8 @@ COORDINATES = BANDS * ROWS
 LEAST_EQUAL = 88
 #: entries of a band value that are compared in one group; more are cut into blocks, and pairs of blocks are the groups
 BLOCK = 1024
+#: members of a family whose full sets are compared in one group, in blocks likewise
+FAMILY_BLOCK = 256
 #: ids whose texts are looked up by a broadcast; more by a shuffle
 BROADCAST_IDS = 1_000_000
 
@@ -44,6 +46,12 @@ def _pi(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_id", "_shingles"])
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The coordinates of a set of 64-bit shingle hashes."""
     places = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -127,50 +135,103 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["_lead", "_id"])
 
 
+def _linked(left: np.ndarray, right: np.ndarray) -> bool:
+    together = np.sort(np.concatenate([left, right]), kind="stable")
+    both = int((together[1:] == together[:-1]).sum())
+    return len(left) > 0 and 100 * both >= PERCENT * (len(left) + len(right) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked = []
-        for left, right in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
-            both = len(left) + len(right) - len(np.union1d(left, right))
-            linked.append(len(left) > 0 and 100 * both >= PERCENT * (len(left) + len(right) - both))
-        kept = batch.filter(pa.array(linked, pa.bool_()))
+        pairs = zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True)
+        kept = batch.filter(pa.array([_linked(left, right) for left, right in pairs], pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["_lead", "_id"])
 
 
-def _pairs_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs with different labels, group by group. Rows come sorted by group; a group may go on in the next batch."""
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups. Rows come sorted by the first columns; the last group of a batch may go on in the next."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        group = np.stack([B.integers(table.column(k).combine_chunks()) for k in range(3)])
-        turn = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+        turn = np.flatnonzero(_turns(table, n_keys))
         last = int(turn[-1]) if len(turn) else 0
         held = next(iter(table.slice(last).combine_chunks().to_batches()), None)
         if last:
-            yield from _compare(table.slice(0, last).combine_chunks(), group[:, :last])
+            yield table.slice(0, last).combine_chunks()
     if held is not None and held.num_rows:
-        table = pa.Table.from_batches([held])
-        yield from _compare(table, np.stack([B.integers(table.column(k).combine_chunks()) for k in range(3)]))
-
-
-def _compare(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    turn = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-    number = np.zeros(table.num_rows, np.int64)
-    number[turn] = 1
-    number = np.cumsum(number)
-    block, label = (B.integers(table.column(k).combine_chunks()) for k in (3, 4))
-    ids, sketches = table.column(5).combine_chunks(), _bytes_of(table.column(6).combine_chunks())
-    within = group[1] == group[2]
-    for step in range(1, int(np.bincount(number).max())):
-        left = np.flatnonzero(number[:-step] == number[step:])
-        right = left + step
-        asked = (label[left] != label[right]) & (within[left] | (block[left] != block[right]))
-        left, right = left[asked], right[asked]
-        near = [_equal(sketches[left[k : k + 8192]], sketches[right[k : k + 8192]]) >= LEAST_EQUAL for k in range(0, len(left), 8192)]
-        if near:
-            near = np.concatenate(near)
-            if near.any():
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[near])), ids.take(pa.array(right[near]))], names=["_lead", "_id"])
+        yield pa.Table.from_batches([held])
+
+
+def _turns(table: pa.Table, n_keys: int) -> np.ndarray:
+    """Whether a row starts a new group; the first row doesn't count."""
+    keys = np.stack([B.integers(table.column(k).combine_chunks()) for k in range(n_keys)])
+    return np.concatenate([[False], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+
+
+def _contacts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of band groups that look alike but have different labels, each with the first member of its cluster."""
+    for table in _groups(batches, 3):
+        number = np.cumsum(_turns(table, 3))
+        side_a, side_b, block, label = (B.integers(table.column(k).combine_chunks()) for k in (1, 2, 3, 4))
+        ids, sketches = table.column(5).combine_chunks(), _bytes_of(table.column(6).combine_chunks())
+        found = [np.zeros((2, 0), np.int64)]
+        for step in range(1, int(np.bincount(number).max())):
+            left = np.flatnonzero(number[:-step] == number[step:])
+            right = left + step
+            asked = (label[left] != label[right]) & ((side_a[left] == side_b[left]) | (block[left] != block[right]))
+            left, right = left[asked], right[asked]
+            for k in range(0, len(left), 8192):
+                near = _equal(sketches[left[k : k + 8192]], sketches[right[k : k + 8192]]) >= LEAST_EQUAL
+                found.append(np.stack([left[k : k + 8192][near], right[k : k + 8192][near]]))
+        left, right = np.concatenate(found, axis=1)
+        if len(left):
+            head = np.arange(len(ids))
+            while True:
+                lowest = np.minimum(head[left], head[right])
+                new = head.copy()
+                np.minimum.at(new, left, lowest)
+                np.minimum.at(new, right, lowest)
+                new = new[new]
+                if (new == head).all():
+                    break
+                head = new
+            met = np.unique(np.concatenate([left, right]))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(head[met])), ids.take(pa.array(met))], names=["_lead", "_id"])
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact links between members with different labels; links that only repeat a connection are left out."""
+    for table in _groups(batches, 3):
+        edges = [0, *np.flatnonzero(_turns(table, 3)).tolist(), table.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            links = _spanning(table.slice(lo, hi - lo).combine_chunks())
+            if links:
+                ids = table.column(5).combine_chunks().slice(lo, hi - lo)
+                sides = [ids.take(pa.array([link[k] for link in links])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(sides, names=["_lead", "_id"])
+
+
+def _spanning(group: pa.Table) -> list[tuple[int, int]]:
+    whole = B.integers(group.column(1).combine_chunks())[0] == B.integers(group.column(2).combine_chunks())[0]
+    block = B.integers(group.column(3).combine_chunks())
+    _, number = np.unique(B.integers(group.column(4).combine_chunks()), return_inverse=True)
+    sketches = _bytes_of(group.column(6).combine_chunks())
+    sets = [np.frombuffer(v, np.uint64) for v in group.column(7).to_pylist()]
+    links = []
+    for x in range(len(sets) - 1):
+        asked = number[x + 1 :] != number[x]
+        if not whole:
+            asked &= block[x + 1 :] != block[x]
+        rest = x + 1 + np.flatnonzero(asked)
+        equal = (sketches[rest] == sketches[x]).sum(axis=1)
+        for k in np.argsort(-equal, kind="stable"):
+            y = rest[k]
+            if equal[k] < LEAST_EQUAL:
+                break
+            if number[y] != number[x] and _linked(sets[x], sets[y]):
+                links.append((x, int(y)))
+                number[number == number[y]] = number[x]
+    return links
 
 
 def near_duplicates(tracks: DataFrame, id_col: str = "track_id", text_col: str = "title") -> DataFrame:
@@ -184,8 +245,9 @@ def near_duplicates(tracks: DataFrame, id_col: str = "track_id", text_col: str =
     repeat an id are one track with several texts. Other columns are not read; an empty table gives no rows.
 
     Equal sets are one from the start, so a copy group of any size costs one row. In a band value's group all members meet its
-    smallest id; only members that stay apart are compared further, inside tasks, in blocks of ``BLOCK`` sketches, so a hot
-    value is many bounded groups and no pair leaves a task unless its sketches agree. Links become components by stars.
+    smallest id. Members that stay apart are compared by sketch inside tasks, in blocks of ``BLOCK``; those that look alike form
+    families, whose full sets are compared in blocks of ``FAMILY_BLOCK``. Either kind of group is bounded however hot its key is,
+    and hands on one row for each member at most, never its pairs. Links become components by stars.
     """
     spark = tracks.sparkSession
     source = tracks.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -227,23 +289,36 @@ def near_duplicates(tracks: DataFrame, id_col: str = "track_id", text_col: str =
         full = likely.join(texts, "_id").join(texts.withColumnsRenamed({"_id": "_lead", "_text": "_other"}), "_lead")
         return materialize(full.select("_lead", "_id", "_text", "_other").mapInArrow(_confirm, pair_type), "links")
 
+    def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+        """A row for each pair of blocks it is in: (key, _a, _b) are groups of at most about two blocks."""
+        n_blocks = F.ceil(F.col("_size") / size).cast("int")
+        dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), n_blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        return dealt.select(
+            key, F.least("_block", "_other").alias("_a"), F.greatest("_block", "_other").alias("_b"), "_block", F.xxhash64("_label").alias("_label"), "_id"
+        )
+
+    def by_group(rows: DataFrame, key: str) -> DataFrame:
+        return rows.repartition(parts, key, "_a", "_b").sortWithinPartitions(key, "_a", "_b")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = confirmed(members.filter("_id <> _lead").select("_lead", "_id").distinct())
     labels = first.groupBy("_id").agg(F.min("_lead").alias("_label"))
     labelled = members.filter("_size > 2").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
     apart = labelled.groupBy("_band").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high")
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    groups = (
-        labelled.join(apart.select("_band"), "_band", "left_semi")
-        .withColumn("_block", F.pmod(F.xxhash64("_id"), blocks).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("_band", F.least("_block", "_other").alias("_a"), F.greatest("_block", "_other").alias("_b"), "_block", F.xxhash64("_label").alias("_label"), "_id")
-        .join(looks, "_id")
-        .select("_band", "_a", "_b", "_block", "_label", "_id", "_sketch")
+    met = in_blocks(labelled.join(apart.select("_band"), "_band", "left_semi"), "_band", BLOCK).join(looks, "_id")
+    met = by_group(met.select("_band", "_a", "_b", "_block", "_label", "_id", "_sketch"), "_band").mapInArrow(_contacts, pair_type)
+    families = materialize(components(materialize(met.distinct(), "contacts").toDF("a", "b")).toDF("_id", "_family"), "families")
+    sizes = families.groupBy("_family").agg(F.count("*").alias("_size"))
+    wanted = families.select("_id")
+    if families.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = source.join(wanted, "_id", "left_semi").mapInArrow(
+        _full_sets, T.StructType([T.StructField("_id", id_type), T.StructField("_shingles", T.BinaryType())])
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = groups.repartition(parts, "_band", "_a", "_b").sortWithinPartitions("_band", "_a", "_b").mapInArrow(_pairs_of_groups, pair_type)
-    met = met.select(F.least("_lead", "_id").alias("_lead"), F.greatest("_lead", "_id").alias("_id")).distinct()
-    second = confirmed(met)
+    family = families.join(sizes, "_family").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    family = in_blocks(family.withColumn("_family", F.xxhash64("_family")), "_family", FAMILY_BLOCK).join(looks, "_id").join(sets, "_id")
+    family = family.select("_family", "_a", "_b", "_block", "_label", "_id", "_sketch", "_shingles")
+    second = materialize(by_group(family, "_family").mapInArrow(_family_links, pair_type), "family-links")
 
     of_links = components(first.union(second).select(F.col("_lead").alias("a"), F.col("_id").alias("b")))
     # rows of one id with several sets are one track
