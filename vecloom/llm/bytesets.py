@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+BASE = np.uint64(0xD6E8FEB86659FD93)
+BASE_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def _lower_ascii() -> np.ndarray:
@@ -111,10 +111,10 @@ class Words:
             hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + SLICE_BYTES, side="right")))
             at, stop = self.start[lo], self.end[hi - 1]
             sums = np.zeros(stop - at + 1, np.uint64)
-            np.multiply(symbols[at:stop], powers(_BASE, stop - at), out=sums[1:])
+            np.multiply(symbols[at:stop], powers(BASE, stop - at), out=sums[1:])
             np.cumsum(sums, out=sums)
             begin = self.start[lo:hi] - at
-            out[lo:hi] = mix((sums[self.end[lo:hi] - at] - sums[begin]) * powers(_BASE_INVERSE, stop - at)[begin])
+            out[lo:hi] = mix((sums[self.end[lo:hi] - at] - sums[begin]) * powers(BASE_INVERSE, stop - at)[begin])
             lo = hi
         return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import chat, language, minhash, mixing, ngram, pii, rules, winnow
+from vecloom.llm import chat, language, minhash, mixing, ngram, pii, rules, suffix, winnow
 from vecloom.llm.lookup import rows_of
 from vecloom.plans.registry import table
 
@@ -168,3 +168,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("track_id"))
     judged = ngram.judge_perplexity(documents, rows_of(documents, good, "track_id"))
     return judged.withColumnRenamed("track_id", "doc_id")
+
+
+@query("op6_remove_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.remove_repeats(tracks(table(spark, sf_dir, "documents")))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return left.select(
+        F.col("track_id").alias("doc_id"), "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
