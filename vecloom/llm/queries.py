@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import chat, language, minhash, mixing, ngram, pii, rules, suffix, winnow
+from vecloom.llm import chat, fixity, language, minhash, mixing, ngram, pii, rules, suffix, winnow
 from vecloom.llm.lookup import rows_of
 from vecloom.plans.registry import table
+from vecloom.session import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -177,3 +178,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         F.col("track_id").alias("doc_id"), "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query(
+    "op5_fixity",
+    r"""
+WITH p AS (SELECT page_id, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+             % greatest(1, (SELECT (count(*) + 9999) // 10000 FROM pages)) AS volume, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, CAST(strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+        || 'Content-Type: application/octet-stream' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+        || html || chr(13) || chr(10) || chr(13) || chr(10)) AS BIGINT) AS length FROM p),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY volume ORDER BY page_id NULLS FIRST, url, html
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT page_id, volume, "offset", length, CASE WHEN page_id % 97 = 13 THEN 'missing' ELSE 'changed' END AS kind
+FROM o WHERE page_id % 97 = 13 OR page_id % 89 = 7
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, against a replica in which some records are lost and some have one more byte."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("track_id"), F.col("url").alias("path"), F.col("html").alias("content"))
+    packed = materialize(fixity.pack_records(pages), "warc")
+    lost, damaged = F.col("track_id") % 97 == 13, F.col("track_id") % 89 == 7
+    replica = packed.filter(~F.coalesce(lost, F.lit(False))).withColumn(
+        "record", F.when(damaged, F.concat("record", F.lit(b"x"))).otherwise(F.col("record"))
+    )
+    return fixity.audit_fixity(packed, replica).withColumnRenamed("track_id", "page_id")
