@@ -103,6 +103,27 @@ def test_cells_prune_and_stay_exact(spark):
     assert collected(got) == brute(x, [r[0] for r in rows], 5)
 
 
+@pytest.mark.parametrize("way", [{}, {"block_rows": 16}, {"key": "label", "block_rows": 16}])
+def test_bad_vectors_and_repeated_ids_raise_in_every_way(spark, way):
+    x = unit_rows(60, 8, seed=6)
+    good = frame(spark, x, label=["a"] * 60)
+    x[11, 3] = np.nan
+    bad = frame(spark, x, label=["a"] * 60)
+    with pytest.raises(Exception, match="NaN"):
+        knn.knn_join(good, bad, 3, **way).collect()
+    with pytest.raises(ValueError, match="repeats"):
+        knn.knn_join(good, good.union(good), 3, exclude_self=True, **way)
+
+
+def test_a_large_block_size_does_not_broadcast_more_bytes(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1)
+    x = unit_rows(300, 8, seed=7)
+    sent = []
+    monkeypatch.setattr(knn, "_one_block", lambda *a: sent.append(1))
+    assert collected(knn.knn_join(frame(spark, x), frame(spark, x), 2, exclude_self=True, block_rows=10**6)) == brute(x, list(range(300)), 2)
+    assert not sent
+
+
 def test_two_tables(spark):
     c, q = unit_rows(90, 8, 4), unit_rows(7, 8, 5)
     for block_rows in (None, 16):

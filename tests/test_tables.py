@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,6 +39,9 @@ def test_scan_files(spark, tmp_path):
     assert {r["length"] for r in got} == {5}
     with pytest.raises(NotADirectoryError):
         files.scan_files(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(NotADirectoryError):
+        files.scan_files(spark, got[0]["path"])
+    assert files.scan_files(spark, f"file://{tmp_path}/").count() == len(got)
 
 
 def test_dot_names_above_the_root_do_not_hide(spark):
@@ -236,13 +240,12 @@ def test_exact_quantiles(spark):
     keys = [None if i % 5 == 0 else "hot" if i % 2 else f"k{i % 3}" for i in range(len(x))]
     df = spark.createDataFrame(list(zip(keys, x.tolist())), "k string, x double")
     points = (0.0, 0.25, 0.5, 0.901, 1.0)
-    for small in (0, 10**6):
-        got = {r["k"]: r["q"] for r in exact_quantiles(df, "x", points, ["k"], small).collect()}
-        for k in set(keys):
-            mine = x[[i for i, v in enumerate(keys) if v == k]]
-            assert got[k] == pytest.approx([np.percentile(mine, 100 * p) for p in points])
-        whole = exact_quantiles(df, "x", points, (), small).first()["q"]
-        assert whole == pytest.approx([np.percentile(x, 100 * p) for p in points])
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, "x", points, ["k"]).collect()}
+    for k in set(keys):
+        mine = x[[i for i, v in enumerate(keys) if v == k]]
+        assert got[k] == pytest.approx([np.percentile(mine, 100 * p) for p in points])
+    whole = exact_quantiles(df, "x", points).first()["q"]
+    assert whole == pytest.approx([np.percentile(x, 100 * p) for p in points])
 
 
 # ---- curation and linkage
@@ -518,3 +521,29 @@ def test_scratch_tables_can_be_dropped(spark):
 
     df = session.materialize(spark.range(3).toDF("id"), "t")
     assert df.count() == 3 and session.drop_scratch(spark) >= 1 and session.drop_scratch(spark) == 0
+
+
+def test_one_bad_window_fails_alone(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [13.0, 0.0]), (5, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "id int, window array<double>").coalesce(1)
+
+    def unlucky():
+        def model(batch):
+            if (batch[:, 0] == 13).any():
+                raise RuntimeError("unlucky")
+            return batch * 2
+
+        return model
+
+    got = {r["id"]: (r["status"], r["embedding"]) for r in inference.batched_inference(df, unlucky, 2).collect()}
+    assert got == {1: ("ok", [2.0, 4.0]), 2: ("failed", None), 3: ("failed", None), 4: ("failed", None), 5: ("ok", [6.0, 8.0])}
+
+
+def test_many_offers_of_one_title_and_length_bucket(spark):
+    """Both windows of a bucket take time in proportion to its rows."""
+    n = 20_000
+    offers = spark.range(n).selectExpr("'t' AS key", "60000 + id AS length", "CAST(id % 97 AS bigint) AS base", "id AS cand")
+    asks = spark.range(n).selectExpr("'t' AS key", "60000 + (id * 7) % 20000 AS ms").distinct()
+    start = time.time()
+    assert linking.best_by_duration(asks, offers).filter("cand IS NOT NULL").count() == n
+    assert time.time() - start < 60

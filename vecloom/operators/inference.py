@@ -31,14 +31,31 @@ def batched_inference(
 ) -> DataFrame:
     """Apply a batch model to every window. ``make_model`` runs once per Python worker.
 
-    Windows that are NULL or of another length are kept with ``status = 'failed'`` and no vector;
-    a window never stops the job. Vectors are 32-bit floats unless ``precise``.
+    Windows that are NULL, of another length, or with NULL or NaN elements are kept with ``status = 'failed'`` and no vector.
+    Where the model raises on a batch, its windows are tried one by one; those it fails on, or answers with NaN, are failed too,
+    so a window never stops the job. Vectors are 32-bit floats unless ``precise``.
     """
     number, element = (np.float64, T.DoubleType()) if precise else (np.float32, T.FloatType())
 
     def make_predict() -> Model:
         model = make_model()
-        return lambda batch: np.asarray(model(np.asarray(batch, dtype=np.float32)), dtype=number)
+
+        def alone(row: np.ndarray) -> np.ndarray | None:
+            try:
+                return np.asarray(model(row[None]), dtype=number)[0]
+            except Exception:  # noqa: BLE001  whatever the model raises is this window's failure
+                return None
+
+        def predict(batch: np.ndarray) -> np.ndarray:
+            batch = np.asarray(batch, dtype=np.float32)
+            try:
+                return np.asarray(model(batch), dtype=number)
+            except Exception:  # noqa: BLE001
+                rows = [alone(row) for row in batch]
+            width = next((len(r) for r in rows if r is not None), 1)
+            return np.stack([np.full(width, np.nan, dtype=number) if r is None else r for r in rows])
+
+        return predict
 
     predict = predict_batch_udf(
         make_predict,
@@ -46,13 +63,16 @@ def batched_inference(
         batch_size=batch_size,
         input_tensor_shapes=[[window]],
     ).asNondeterministic()  # or a later filter on the vector would run the model a second time
-    good = F.col(column).isNotNull() & (F.size(column) == window)
+    unusable = F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    good = F.col(column).isNotNull() & (F.size(column) == window) & ~unusable
     blank = F.array_repeat(F.lit(0.0).cast("float"), window)
     safe = windows.withColumn("_ok", F.coalesce(good, F.lit(False))).withColumn(
         "_in", F.when(F.col("_ok"), F.col(column).cast("array<float>")).otherwise(blank)
     )
-    scored = safe.withColumn(out, F.when(F.col("_ok"), predict("_in")))
-    return scored.withColumn("status", F.when(F.col("_ok"), "ok").otherwise("failed")).drop("_ok", "_in")
+    scored = safe.withColumn("_raw", F.when(F.col("_ok"), predict("_in")))
+    answered = F.col("_ok") & ~F.coalesce(F.exists("_raw", lambda x: F.isnan(x)), F.lit(True))
+    scored = scored.withColumn("_ok", answered).withColumn(out, F.when(F.col("_ok"), F.col("_raw")))
+    return scored.withColumn("status", F.when(F.col("_ok"), "ok").otherwise("failed")).drop("_ok", "_in", "_raw")
 
 
 def projection_model(width: int, dim: int) -> Callable[[], Model]:

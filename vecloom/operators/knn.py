@@ -153,7 +153,8 @@ def knn_join(
 ) -> DataFrame:
     """Top-k of the corpus for every query: ``query_id, neighbor_id, rank`` (0-based), ``score``.
 
-    With ``key`` only rows of equal key are compared; rows whose key is NULL match nothing.
+    With ``key`` only rows of equal key are compared; rows whose key is NULL match nothing. NaN, infinite or NULL elements raise,
+    whichever way the join takes; so do ids that repeat, where a row is to be kept from meeting itself.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -171,10 +172,17 @@ def knn_join(
     if first is None:
         return spark.createDataFrame([], plan.result_schema)
     plan.dim = len(first["v"])
-    plan.block_rows = block_rows or max(256, min(16_384, BLOCK_BYTES // (4 * plan.dim)))
-
-    n_rows = corpus.count()
-    if probes is None and n_rows <= plan.block_rows:
+    fitting = max(256, min(16_384, BLOCK_BYTES // (4 * plan.dim)))
+    plan.block_rows = block_rows or fitting
+
+    if exclude_self:
+        n_rows, most = c.groupBy("id").count().agg(F.sum("count"), F.max("count")).first()
+        if most > 1:
+            raise ValueError(f"{corpus_id} repeats in the corpus: with exclude_self every id must name one row")
+    else:
+        n_rows = corpus.count()
+    # the broadcast is bounded by bytes, whatever block size is asked for
+    if probes is None and n_rows <= min(plan.block_rows, fitting):
         return _one_block(q, c.toArrow(), plan)
     if key:
         return _keyed(q, c, plan, n_rows)
@@ -206,7 +214,7 @@ class _Plan:
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Rows of a list column as float64; a row of another width is an error."""
+    """Rows of a list column as float64; a row of another width, or with NaN, infinite or NULL elements, is an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -215,8 +223,10 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     if (widths != dim).any():
         other = int(widths[widths != dim][0])
         raise ValueError(f"embedding_dim mismatch: store has {dim}, got {other}")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, dim).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not np.isfinite(flat).all():
+        raise ValueError("embedding holds NaN, infinite or NULL elements: split such rows off first (split_bad_vectors)")
+    return flat.reshape(-1, dim)
 
 
 def _positions(groups: np.ndarray) -> dict[str, np.ndarray]:
@@ -525,7 +535,10 @@ def _celled(
     picked = drawn.orderBy(F.xxhash64("id")).select("v").limit(4 * n_pivots).toArrow()
     if not picked.num_rows:
         picked = corpus.select("v").limit(1).toArrow()
-    centers = np.unique(_matrix(picked.column("v"), dim), axis=0)[:n_pivots]
+    # distinct ones in hash order: sorting by value would take them all from one side of the space
+    drawn_rows = _matrix(picked.column("v"), dim)
+    _, first = np.unique(drawn_rows, axis=0, return_index=True)
+    centers = drawn_rows[np.sort(first)[:n_pivots]]
 
     c = materialize(_nearest(_distinct_corpus(corpus, plan.want), centers, dim), "cells")
     q = _nearest(_distinct_queries(queries), centers, dim)

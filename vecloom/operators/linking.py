@@ -166,7 +166,8 @@ def best_by_duration(asks: DataFrame, offers: DataFrame) -> DataFrame:
     )
     line = Window.partitionBy("key", "bucket").orderBy("ms")
     down = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    up = line.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # both running minima grow with the frame; one that shrinks would be worked out anew for every row
+    up = Window.partitionBy("key", "bucket").orderBy(F.desc("ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     close = (
         timeline.select(
             "key", "ms", "ask", F.min("below").over(down).alias("below"), F.min("above").over(up).alias("above")

@@ -17,18 +17,13 @@ def exact_quantiles(
     value: str,
     points: Sequence[float],
     keys: Sequence[str] = (),
-    small_rows: int = 1_000_000,
 ) -> DataFrame:
     """``keys, q`` with one number per point, equal to interpolating the sorted values.
 
-    ``percentile`` keeps every distinct value of a group in one task, so it serves only up to
-    ``small_rows`` rows in all. Beyond that equal values are counted first; a mergeable sketch
-    proposes borders; bucket totals tell which buckets hold the wanted ranks; only those buckets
-    are sorted, each on its own.
+    ``percentile`` would keep every distinct value of a group in one task. Here equal values are counted first; a mergeable
+    sketch proposes borders; bucket totals tell which buckets hold the wanted ranks; only those buckets are sorted, each on its
+    own. Tables of any size take this way.
     """
-    if df.count() <= small_rows:
-        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in points]))
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("q"))
     # one struct column stands for the keys, so NULL keys form a group like any other
     rows = df.where(F.col(value).isNotNull()).select(
         F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(value).cast("double").alias("x")

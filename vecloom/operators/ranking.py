@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: rows that one task sorts, about
+ROWS_PER_BUCKET = 1_000_000
+
+
 def salt_bucket(key: Column, buckets: int = 4096, seed: str = "salt") -> Column:
     """A bucket in [0, buckets), buckets <= 65536, from four hex digits of MD5."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(":"), F.lit(seed)).cast("binary"))
@@ -51,15 +55,16 @@ def group_positions(
 
 
 def global_positions(
-    df: DataFrame, order: str, position: str = "position", buckets: int = 256
+    df: DataFrame, order: str, position: str = "position", buckets: int | None = None
 ) -> DataFrame:
     """0-based position of every row by a numeric, unique column, over the whole table.
 
     Splitters come from ``approx_percentile``; they are data, not partition numbers, so a
-    recomputed task gives the same answer.
+    recomputed task gives the same answer. There is a bucket for about a million rows.
     """
+    buckets = buckets or max(16, -(-df.count() // ROWS_PER_BUCKET))
     points = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(F.percentile_approx(order, points, 10_000).alias("s")).first()["s"] or []
+    splits = df.agg(F.percentile_approx(order, points, max(10_000, 40 * buckets)).alias("s")).first()["s"] or []
     splits = sorted(set(splits))
     if splits:
         borders = F.array(*[F.lit(s) for s in splits])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
+from vecloom.functions.hashing import relative_path
 from vecloom.operators import compare, knn, metrics
 from vecloom.operators import labels as L
 from vecloom.operators.evaluation import eval_report
@@ -554,7 +555,7 @@ def m13_label(spark, sf_dir):
     + """ FROM n JOIN tags a ON a.vec_id = n.query_id JOIN tags b ON b.vec_id = n.neighbor_id WHERE len(a.tags) > 0""",
 )
 def m13_tags(spark, sf_dir):
-    named = X.store(spark, sf_dir).select("vec_id", F.substring("path", 6, 100).alias("mp3_path"))
+    named = X.store(spark, sf_dir).select("vec_id", relative_path(F.col("path"), "/lib").alias("mp3_path"))
     tags = X.tags(spark, sf_dir).join(named, "vec_id").select("mp3_path", "tags")
     got = eval_report(X.store(spark, sf_dir), "tags", tags=tags, root="/lib")
     return _all6(got, "n_store", "n_aligned", "model_versions", "n_seeds")

@@ -403,7 +403,7 @@ def j2(spark, sf_dir):
     FROM store s LEFT JOIN annotated a ON a.mp3_path = substr(path, 6)""",
 )
 def j3(spark, sf_dir):
-    paths = X.store(spark, sf_dir).select("vec_id", F.substring("path", 6, 100).alias("mp3_path"))
+    paths = X.store(spark, sf_dir).select("vec_id", H.relative_path(F.col("path"), "/lib").alias("mp3_path"))
     return L.tag_matrix_for(paths, _annotated(spark, sf_dir), ["loud", "slow"])
 
 
@@ -787,8 +787,8 @@ def r1(spark, sf_dir, **kwargs):
 
 @query("r1_latency_summary_spread", _LATENCY_SQL)
 def r1_spread(spark, sf_dir):
-    """The way more than a million timings go."""
-    return r1(spark, sf_dir, small_rows=0)
+    """One report over all event types in the same table: every group is a part of one plan."""
+    return r1(spark, sf_dir)
 
 
 _EPOCHS_SQL = "epochs AS (SELECT event_type, CAST(dayofyear(ts) AS INTEGER) AS epoch, avg(value) AS mean FROM events GROUP BY ALL)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import relative_path
+from vecloom.sources.paths import qualified_directory
 
 
 def scan_files(
@@ -19,16 +21,21 @@ def scan_files(
 
     The file source lists the tree and reads no content unless it is asked for. It hides names that
     start with ``_``; where such files matter, keep a listing table and give it to ``select_audio``.
+    The root is qualified by its file system first, so a plain root of a remote default system works; paths come back with
+    scheme and host, but for local files. A root that is missing or a file raises ``NotADirectoryError``.
     """
+    qualified = qualified_directory(spark, root)
+    if qualified is None:
+        raise NotADirectoryError(f"{root} is not a directory")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        files = reader.load(root)
+        files = reader.load(qualified)
     except AnalysisException as error:
         raise NotADirectoryError(f"{root} is not a directory") from error
     wanted = ["path", "length", F.col("modificationTime").alias("modified")]
     listing = files.select(*wanted, *(["content"] if content else []))
     plain = F.regexp_replace("path", "^file:/+", "/")
-    return select_audio(listing.withColumn("path", plain), root, suffixes)
+    return select_audio(listing.withColumn("path", plain), re.sub("^file:/+", "/", qualified), suffixes)
 
 
 def select_audio(
