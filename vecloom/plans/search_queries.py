@@ -12,6 +12,7 @@ from vecloom.operators import labels as L
 from vecloom.operators.evaluation import eval_report
 from vecloom.plans import fixtures as X
 from vecloom.plans.registry import query, r6, sql_r6, sql_uniform, table
+from vecloom.session import materialize
 
 
 def _long(df: DataFrame, column, *keys: str) -> DataFrame:
@@ -302,6 +303,31 @@ def k6(spark, sf_dir):
     )
 
 
+@query(
+    "k6_ann_quality",
+    """SELECT count(*) AS n_queries, true AS full_lists, true AS exact_scores, true AS recall_from_half FROM embeddings""",
+)
+def k6_quality(spark, sf_dir):
+    """What an approximate search must keep: k answers for each query, exact scores, and half of the true neighbours or more."""
+    df = _embeddings(spark, sf_dir)
+    ids = {"query_id": "vec_id", "corpus_id": "vec_id", "exclude_self": True}
+    near = materialize(knn.ann_topk(df, df, 10, cells=16, probes=6, block_rows=256, **ids), "approximate")
+    true = knn.knn_join(df, df, 10, **ids).select("query_id", "neighbor_id", F.lit(1).alias("hit"))
+    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
+    n = df.select(F.col("vec_id").alias("neighbor_id"), F.col("embedding").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    rows = near.join(q, "query_id").join(n, "neighbor_id").join(true, ["query_id", "neighbor_id"], "left")
+    each = rows.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.max(F.abs(dot - F.col("score"))).alias("off"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits")
+    )
+    return each.agg(
+        F.count("*").alias("n_queries"),
+        F.min(F.col("n") == 10).alias("full_lists"),
+        F.min(F.col("off") < 1e-9).alias("exact_scores"),
+        (F.sum("hits") >= 0.5 * F.sum("n")).alias("recall_from_half"),
+    )
+
+
 # ---------------------------------------------------------------- retrieval metrics
 
 

@@ -307,6 +307,18 @@ def h1(spark, sf_dir):
     )
 
 
+@query(
+    "h1_same_content",
+    """WITH b AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY n, CASE WHEN n <= 2048 THEN x ELSE substr(x, 1, 2048) || substr(x, 2 * (n - 1024) + 1, 2048) END) AS first_doc_id FROM b""",
+)
+def h1_same(spark, sf_dir):
+    """Equal ids stand for equal size, head and tail: the first document of each id."""
+    ids = h1(spark, sf_dir).select("doc_id", "track_id", "seed0_id")
+    first = ids.groupBy("track_id", "seed0_id").agg(F.min("doc_id").alias("first_doc_id"))
+    return ids.join(first, ["track_id", "seed0_id"]).select("doc_id", "first_doc_id")
+
+
 @query(
     "h1_content_fingerprint_sha",
     """WITH b AS (SELECT doc_id, encode(text) AS c, octet_length(encode(text)) AS n FROM documents),

@@ -72,13 +72,28 @@ def t3(spark, sf_dir):
     )
 
 
-@query("t5_dedup_first_wins")
+# the rule as it is told: rows in order, with the ids and keys kept so far as state
+_WALK_SQL = f"""k AS (SELECT seq, url, substr(url, 27, 11) AS vid, {_KEY_SQL} AS key, row_number() OVER (ORDER BY seq) AS n FROM titles),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS keys, CAST('' AS VARCHAR) AS status
+  UNION ALL SELECT n, CASE WHEN status = 'kept' THEN list_append(ids, vid) ELSE ids END,
+    CASE WHEN status = 'kept' AND key <> '' THEN list_append(keys, key) ELSE keys END, status
+  FROM (SELECT k.n, ids, keys, vid, key, CASE WHEN list_contains(ids, vid) THEN 'id_dupe'
+          WHEN key <> '' AND list_contains(keys, key) THEN 'title_dupe' ELSE 'kept' END AS status FROM walk JOIN k ON k.n = walk.n + 1))"""
+
+
+@query(
+    "t5_dedup_first_wins",
+    f"WITH RECURSIVE {X.TITLES_SQL}, {_WALK_SQL} SELECT seq, vid AS video_id, key AS title_key, status FROM walk JOIN k USING (n)",
+)
 def t5(spark, sf_dir):
     got = curation.dedup_first_wins(X.titles(spark, sf_dir))
     return got.select("seq", "video_id", "title_key", "status")
 
 
-@query("t5_keep_tracks")
+@query(
+    "t5_keep_tracks",
+    f"WITH RECURSIVE {X.TITLES_SQL}, {_WALK_SQL} SELECT seq, url FROM walk JOIN k USING (n) WHERE status = 'kept' ORDER BY seq LIMIT 50",
+)
 def t5_limit(spark, sf_dir):
     kept = curation.keep_tracks(curation.dedup_first_wins(X.titles(spark, sf_dir)), 50)
     return kept.select("seq", "url")
