@@ -547,3 +547,15 @@ def test_many_offers_of_one_title_and_length_bucket(spark):
     start = time.time()
     assert linking.best_by_duration(asks, offers).filter("cand IS NOT NULL").count() == n
     assert time.time() - start < 60
+
+
+def test_a_long_stream_leaves_few_folders(spark, tmp_path):
+    src, path = str(tmp_path / "in"), str(tmp_path / "store")
+    for k in range(12):
+        track(spark, (f"{k:02d}", f"/{k:02d}", "t", [1.0])).coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    ingest_stream(
+        spark, src, path, str(tmp_path / "mark"), schema=schema, files_per_trigger=1, compact_every=4, grace_seconds=0
+    ).awaitTermination()
+    assert {r["track_id"] for r in store.scan_store(spark, path).collect()} == {f"{k:02d}" for k in range(12)}
+    assert len([n for n in os.listdir(path) if not n.startswith(".")]) <= 5

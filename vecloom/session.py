@@ -48,11 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_SCRATCH: list[str] = []
 
 
-_SCRATCH: list[str] = []
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; ``drop_scratch`` removes what was written there."""
+    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +63,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The folder stays for as long as results may read it; ``drop_scratch`` removes it.
     """
     path = scratch_path(df.sparkSession, name)
-    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vecloom.schemas import STORE
 from vecloom.sources.files import scan_order
-from vecloom.sources.store import conform, ingest_incremental, latest_rows, scan_store, write_delta
+from vecloom.sources.store import (
+    compact,
+    conform,
+    drop_superseded,
+    ingest_incremental,
+    latest_rows,
+    scan_store,
+    write_delta,
+)
 
 
 def ingest_stream(
@@ -25,13 +33,17 @@ def ingest_stream(
     available_now: bool = True,
     replace: bool = False,
     name: str = "ingest",
+    compact_every: int | None = 50,
+    grace_seconds: float = 3600.0,
 ) -> StreamingQuery:
     """Read Parquet files as they appear and add their rows to the store.
 
     Every micro-batch is one delta named by its batch id, so a batch that is run again after a
     failure replaces itself. With ``replace`` rows of known ids are updated (the last row per id of
     a batch wins by path order); otherwise known ids are skipped. ``available_now`` catches up
-    and stops.
+    and stops. After every ``compact_every`` batches the deltas are folded into a new base, and folders
+    it supersedes go once they are ``grace_seconds`` old, so their number stays bounded; a batch that
+    is run again after that changes nothing.
     """
     stream = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
@@ -41,6 +53,9 @@ def ingest_stream(
 
     def save(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, store_path, f"{name}.{batch_id}", replace)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(spark, store_path)
+            drop_superseded(spark, store_path, grace_seconds)
 
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     if available_now:
