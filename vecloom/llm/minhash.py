@@ -31,8 +31,8 @@ LEAST_EQUAL = 88
 BLOCK = 1024
 #: members of a family whose full sets are compared in one group, in blocks likewise
 FAMILY_BLOCK = 256
-#: ids whose texts are looked up by a broadcast; more by a shuffle
-BROADCAST_IDS = 1_000_000
+#: rows of a counted table of ids that may be broadcast
+BROADCAST_ROWS = 500_000
 
 _STEPS = (np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B1)).astype(np.uint32)[:, None]
 _PIECE = 4096
@@ -245,48 +245,47 @@ def near_duplicates(tracks: DataFrame, id_col: str = "track_id", text_col: str =
     repeat an id are one track with several texts. Other columns are not read; an empty table gives no rows.
 
     Equal sets are one from the start, so a copy group of any size costs one row. In a band value's group all members meet its
-    smallest id. Members that stay apart are compared by sketch inside tasks, in blocks of ``BLOCK``; those that look alike form
+    smallest id. Members that stay apart are compared by sketch inside tasks, in blocks of ``BLOCK``; clusters that look alike are
     families, whose full sets are compared in blocks of ``FAMILY_BLOCK``. Either kind of group is bounded however hot its key is,
     and hands on one row for each member at most, never its pairs. Links become components by stars.
     """
     spark = tracks.sparkSession
     source = tracks.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType
-    sketches = materialize(
-        source.mapInArrow(
-            _sketches,
-            T.StructType(
-                [
-                    T.StructField("_id", id_type),
-                    T.StructField("_n", T.LongType()),
-                    T.StructField("_set", T.BinaryType()),
-                    T.StructField("_bands", T.ArrayType(T.LongType())),
-                    T.StructField("_sketch", T.BinaryType()),
-                ]
-            ),
+    sketches = source.mapInArrow(
+        _sketches,
+        T.StructType(
+            [
+                T.StructField("_id", id_type),
+                T.StructField("_n", T.LongType()),
+                T.StructField("_set", T.BinaryType()),
+                T.StructField("_bands", T.ArrayType(T.LongType())),
+                T.StructField("_sketch", T.BinaryType()),
+            ]
         ),
-        "sketches",
     )
+    sketches = materialize(sketches, "sketches")
     pair_type = T.StructType([T.StructField("_lead", id_type), T.StructField("_id", id_type)])
     named = sketches.filter("_n > 0 AND _id IS NOT NULL")
-    copies = named.groupBy("_set").agg(F.min("_id").alias("_first"))
-    distinct = materialize(
-        named.join(copies, "_set").filter("_id = _first").select("_id", "_bands", "_sketch").dropDuplicates(["_id", "_bands"]), "distinct"
-    )
+    firsts = named.groupBy("_set").agg(F.min("_id").alias("_first"))
+    copies = materialize(named.select("_id", "_set").join(firsts, "_set").select("_id", "_first").distinct(), "copies")
+    distinct = materialize(named.join(firsts, "_set").filter("_id = _first").select("_id", "_bands", "_sketch").dropDuplicates(["_id", "_bands"]), "distinct")
     looks = distinct.select("_id", "_sketch")
     entries = distinct.select("_id", F.explode("_bands").alias("_band"))
     leads = entries.groupBy("_band").agg(F.min("_id").alias("_lead"), F.count("*").alias("_size")).filter("_size > 1")
     members = materialize(entries.join(leads, "_band"), "members")
 
+    def few(rows: DataFrame) -> DataFrame:
+        """A written table, broadcast while it is small."""
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (_lead, _id) whose full sets overlap enough."""
-        near = pairs.join(looks.withColumnsRenamed({"_id": "_lead", "_sketch": "_left"}), "_lead").join(looks, "_id")
+        pairs = few(materialize(pairs, "pairs"))
+        near = looks.join(pairs, "_id").join(looks.withColumnsRenamed({"_id": "_lead", "_sketch": "_left"}), "_lead")
         likely = materialize(near.select("_lead", "_id", "_left", "_sketch").mapInArrow(_likely, pair_type), "likely")
-        wanted = likely.select("_id").union(likely.select("_lead")).distinct()
-        if likely.count() <= BROADCAST_IDS // 2:
-            wanted = F.broadcast(wanted)
-        texts = materialize(source.join(wanted, "_id", "left_semi"), "texts")
-        full = likely.join(texts, "_id").join(texts.withColumnsRenamed({"_id": "_lead", "_text": "_other"}), "_lead")
+        texts = materialize(source.join(few(likely.select("_id").union(likely.select("_lead"))), "_id", "left_semi"), "texts")
+        full = texts.join(few(likely), "_id").join(texts.withColumnsRenamed({"_id": "_lead", "_text": "_other"}), "_lead")
         return materialize(full.select("_lead", "_id", "_text", "_other").mapInArrow(_confirm, pair_type), "links")
 
     def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -298,37 +297,30 @@ def near_duplicates(tracks: DataFrame, id_col: str = "track_id", text_col: str =
         )
 
     def by_group(rows: DataFrame, key: str) -> DataFrame:
-        return rows.repartition(parts, key, "_a", "_b").sortWithinPartitions(key, "_a", "_b")
+        return rows.repartition(parts, key, "_a", "_b").sortWithinPartitions(key, "_a", "_b", "_id")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = confirmed(members.filter("_id <> _lead").select("_lead", "_id").distinct())
-    labels = first.groupBy("_id").agg(F.min("_lead").alias("_label"))
-    labelled = members.filter("_size > 2").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    apart = labelled.groupBy("_band").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low <> _high")
-    met = in_blocks(labelled.join(apart.select("_band"), "_band", "left_semi"), "_band", BLOCK).join(looks, "_id")
-    met = by_group(met.select("_band", "_a", "_b", "_block", "_label", "_id", "_sketch"), "_band").mapInArrow(_contacts, pair_type)
-    families = materialize(components(materialize(met.distinct(), "contacts").toDF("a", "b")).toDF("_id", "_family"), "families")
-    sizes = families.groupBy("_family").agg(F.count("*").alias("_size"))
-    wanted = families.select("_id")
-    if families.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = source.join(wanted, "_id", "left_semi").mapInArrow(
+    labels = materialize(first.groupBy("_id").agg(F.min("_lead").alias("_label")), "labels")
+    labelled = members.filter("_size > 2").join(few(labels), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    met = in_blocks(labelled, "_band", BLOCK).join(looks, "_id").select("_band", "_a", "_b", "_block", "_label", "_id", "_sketch")
+    met = materialize(by_group(met, "_band").mapInArrow(_contacts, pair_type).distinct(), "contacts")
+    sizes = met.groupBy("_lead").agg(F.count("*").alias("_size"))
+    sets = source.join(few(met.select("_id")), "_id", "left_semi").mapInArrow(
         _full_sets, T.StructType([T.StructField("_id", id_type), T.StructField("_shingles", T.BinaryType())])
     )
-    family = families.join(sizes, "_family").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    family = in_blocks(family.withColumn("_family", F.xxhash64("_family")), "_family", FAMILY_BLOCK).join(looks, "_id").join(sets, "_id")
-    family = family.select("_family", "_a", "_b", "_block", "_label", "_id", "_sketch", "_shingles")
+    sets = sets.join(looks, "_id")
+    family = met.join(sizes, "_lead").join(few(labels), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    family = few(materialize(in_blocks(family.withColumn("_family", F.xxhash64("_lead")), "_family", FAMILY_BLOCK), "families"))
+    family = sets.join(family, "_id").select("_family", "_a", "_b", "_block", "_label", "_id", "_sketch", "_shingles")
     second = materialize(by_group(family, "_family").mapInArrow(_family_links, pair_type), "family-links")
 
-    of_links = components(first.union(second).select(F.col("_lead").alias("a"), F.col("_id").alias("b")))
-    # rows of one id with several sets are one track
-    own = named.select("_id", "_set").join(copies, "_set").groupBy("_id").agg(F.min("_first").alias("_first"), F.max("_first").alias("_last"))
-    split = own.filter("_first <> _last")
-    if not split.isEmpty():
-        same = named.select("_id", "_set").join(copies, "_set").select(F.col("_first").alias("a"), F.col("_id").alias("b"))
-        of_links = components(first.union(second).toDF("a", "b").union(same))
+    links = first.union(second).toDF("a", "b")
+    own = copies.groupBy("_id").agg(F.min("_first").alias("_first"), F.max("_first").alias("_last"))
+    if not own.filter("_first <> _last").isEmpty():  # rows of one id with several sets are one track
+        links = links.union(copies.select("_first", "_id"))
         own = own.withColumn("_first", F.col("_id"))
-    found = own.join(of_links, F.col("_first") == F.col("node"), "left").select(
+    found = own.join(components(links), F.col("_first") == F.col("node"), "left").select(
         F.col("_id").alias("_key"), F.coalesce("component", "_first").alias("_component")
     )
     return (
