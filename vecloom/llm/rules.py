@@ -179,8 +179,9 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     ``labelled`` is bounded by the caller; it is written once and counted a few times for each condition. Rows that fail the base
     are left out, as no rule will judge their like.
     """
-    rows = labelled.filter(~F.col("base_failed")).withColumn("_fold", F.pmod(F.xxhash64("_id"), F.lit(3)))
-    rows = every = materialize(rows, "labelled-statistics")
+    rows = materialize(labelled.withColumn("_fold", F.pmod(F.xxhash64("_id"), F.lit(3))), "labelled-statistics")
+    # only once the statistics are written: before, this would be pushed below the join and work them out for every track
+    rows = every = rows.filter(~F.col("base_failed"))
     shares = [k / (BINS + 1) for k in range(1, BINS + 1)]
     quantiles = rows.agg(*(F.percentile_approx(STATISTICS[s](), shares, 10_000).alias(s) for s in STATISTICS)).first()
     limits = {s: sorted(set(quantiles[s] or [])) for s in STATISTICS}
