@@ -88,6 +88,17 @@ def test_perplexity(tracks):
     assert all(p == pytest.approx(1.0) for _, n, p in uniform if n)
 
 
+def test_perplexity_of_equal_rows_over_shards(tracks):
+    """Rows equal in id, language and text stay rows of their own, whatever the number of shards."""
+    given = tracks.union(tracks).union(tracks.filter("track_id IS NULL OR track_id = 1"))
+    one = by_id(ngram.judge_perplexity(given, tracks), "n_signs", "perplexity", "threshold", "kept")
+    few = by_id(ngram.judge_perplexity(given, tracks, shard_rows=250), "n_signs", "perplexity", "threshold", "kept")
+    assert len(few) == len(one) == given.count()
+    assert [(g[0], g[1], g[4]) for g in few] == [(g[0], g[1], g[4]) for g in one]
+    for k in (2, 3):
+        assert [g[k] or 0.0 for g in few] == pytest.approx([g[k] or 0.0 for g in one], rel=1e-5)
+
+
 def test_fixity(spark, tracks):
     files = tracks.select("track_id", F.col("title").alias("path"), F.col("title").alias("content"), "hash", "node", "_key")
     packed = fixity.pack_records(files, records_per_volume=3)

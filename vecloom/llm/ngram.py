@@ -182,9 +182,11 @@ def _shard_of(codes, n_shards: int):
 
 
 def score(tracks: DataFrame, trusted: DataFrame, shard_rows: int) -> DataFrame:
-    """``_row`` columns of ``tracks`` but the text, with ``n_signs`` and ``log_p`` (sum over the text)."""
+    """A row for each row of ``tracks``: its columns but the text, with ``n_signs`` and ``log_p`` (sum over the text)."""
     probabilities, weights, alphabet = train(trusted)
     n_shards = max(1, -(-probabilities.count() // shard_rows))
+    if n_shards > 1:  # the numbers are written, so every shard sees the same ones
+        tracks = materialize(tracks.withColumn("_row", F.monotonically_increasing_id()), "rows")
     others = [c for c in tracks.columns if c != "_text"]
     parts = []
     for shard in range(n_shards):
@@ -222,7 +224,7 @@ def score(tracks: DataFrame, trusted: DataFrame, shard_rows: int) -> DataFrame:
         parts.append(tracks.mapInArrow(run, schema))
     if n_shards == 1:
         return parts[0]
-    return _union(parts).groupBy(*others).agg(F.max("n_signs").alias("n_signs"), F.sum("log_p").alias("log_p"))
+    return _union(parts).groupBy(*others).agg(F.max("n_signs").alias("n_signs"), F.sum("log_p").alias("log_p")).drop("_row")
 
 
 def judge_perplexity(
@@ -240,13 +242,13 @@ def judge_perplexity(
     Track records have no language field; any column may group them.
 
     Null and empty texts have no perplexity, set no threshold and aren't kept. Rows are scored one by one, so repeated and null ids
-    keep their rows (over several shards, rows equal in id and language stay apart by a row number of their text's hash). Without
-    trusted text every sign is equally likely. Other columns are not read. An empty table gives no rows.
+    keep their rows (over several shards a row number keeps equal rows apart). Without trusted text every sign is equally likely. Other columns are not read. An empty table gives no rows.
 
     The count tables are grouped and joined by n-gram, which spreads hot ones by partial sums. Scoring takes the model in shards of
-    about ``shard_rows`` n-grams; the tasks hold one shard, and each text meets every shard once.
+    about ``shard_rows`` n-grams; the tasks hold one shard, and each text meets every shard once. Over several shards the texts are
+    written once with their row numbers.
     """
-    source = tracks.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    source = tracks.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     scored = score(source, trusted.select(F.col(text_col).alias("_text")), shard_rows)
     scored = materialize(
         scored.select("_id", "_lang", "n_signs", F.when(F.col("n_signs") > 0, -F.col("log_p") / F.col("n_signs")).alias("_log")), "perplexities"
