@@ -231,6 +231,21 @@ def test_targets_out_of_reach_give_the_nearest_rates(spark):
     assert rates[0] == pytest.approx(0.0, abs=1e-6) and rates[1] > 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.02, 0.002])
+def test_hard_cuts_of_soft_domains_match(spark, share):
+    part = (F.col("id") + 0.5) / 1000
+    table = spark.range(1000).select(F.lit(10).alias("n_tokens"), part.alias("_p0"), (1 - part).alias("_p1")).localCheckpoint()
+    rate = mixing.fit_rates(table, [10000 * share, 10000 * (1 - share)])
+    got = table.agg(F.sum(rate * F.col("n_tokens") * F.col("_p0")), F.sum(rate * F.col("n_tokens") * F.col("_p1")), F.min(rate)).first()
+    assert list(got)[:2] == pytest.approx([10000 * share, 10000 * (1 - share)], abs=0.2) and got[2] >= 0
+
+
+def test_a_miss_is_told(spark):
+    table = spark.createDataFrame([(10, 0.8, 0.2), (10, 0.2, 0.8), (0, 0.0, 1.0)], "n_tokens long, _p0 double, _p1 double")
+    with pytest.warns(UserWarning, match="miss the target tokens"):
+        mixing.fit_rates(table, [1.0, 19.0])
+
+
 # ---- winnowing
 
 

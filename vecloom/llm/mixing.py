@@ -1,12 +1,13 @@
 """Mixing tracks to target domain weights with soft membership, in DataFrame operations only.
 
 A naive Bayes classifier, counted from a labelled table, gives each track a posterior over the domains. Nonnegative rates are
-then fitted by projected gradient steps until the expected tokens of each domain match the targets. A step needs one sum per
-domain over all tracks; the rates never leave the executors.
+then fitted by Newton steps until the expected tokens of each domain match the targets. A step needs one row of sums over all
+tracks; the rates never leave the executors.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -21,7 +22,10 @@ SAMPLE_PER_DOMAIN = 5000
 BUCKETS = 1 << 14
 #: words of evidence that a posterior rests on at most; longer texts count as this many average words
 EVIDENCE = 100
-STEPS, TOLERANCE = 60, 1e-5
+#: Newton steps at most; a miss of this share of all tokens counts as met
+STEPS, TOLERANCE = 100, 1e-5
+#: what is added to the second moments in the first step, a tenth of it in each next one, and at least
+DAMPING = (1e-3, 1e-13)
 
 
 def words_of(text: Column) -> Column:
@@ -69,24 +73,68 @@ def posteriors(tracks: DataFrame, weights: DataFrame, n_domains: int) -> DataFra
 def fit_rates(table: DataFrame, targets: list[float]) -> Column:
     """The rate as a column of ``n_tokens, _p0 .. _pK``.
 
-    Minimizes the squared miss of the domain totals in the norm that the token-weighted second moments of the posteriors give, from
-    rate 1, over rates of 0 or more. In that norm a unit step is safe, and it is exact while no rate is at 0.
+    Of all rates of 0 or more that meet the domain totals, those with the least token-weighted squared distance from 1 are
+    ``max(0, 1 + posterior . lambda)``. Lambda is found by damped Newton steps on the dual: a step needs the totals and the second
+    moments of the rows whose rate is above 0. Out of reach, the totals go to the nearest ones in the norm of the second moments of
+    all rows. Totals that miss the targets by more than ``TOLERANCE`` of all tokens raise a warning that names the misses.
     """
     k = len(targets)
     p = [F.col(f"_p{i}") for i in range(k)]
     n = F.col("n_tokens")
-    moments = table.agg(*(F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
-    gram = np.array([[float(moments[f"m{i}_{j}"] or 0) for j in range(k)] for i in range(k)])
-    inverse, wanted = np.linalg.pinv(gram), np.array(targets, float)
-    rate = F.lit(1.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    wanted = np.array(targets, float)
+
+    def dot(by: np.ndarray) -> Column:
+        return sum((p[i] * float(by[i]) for i in range(1, k)), p[0] * float(by[0]))
+
+    def look(by: np.ndarray, toward: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Totals, second moments of rows in use, tokens by squared rate, least ``posterior . toward``."""
+        rate = F.greatest(F.lit(0.0), dot(by) + 1.0)
+        rows = table.filter(n > 0).select(n, *p, rate.alias("_rate"), dot(toward).alias("_toward"))
+        used = F.when(F.col("_rate") > 0, n).otherwise(F.lit(0))
+        found = rows.agg(
+            *(F.sum(n * F.col("_rate") * p[i]).alias(f"t{i}") for i in range(k)),
+            *(F.sum(used * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs),
+            F.sum(n * F.col("_rate") * F.col("_rate")).alias("square"),
+            F.min("_toward").alias("least"),
+        ).first()
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = float(found[f"m{i}_{j}"] or 0)
+        return np.array([float(found[f"t{i}"] or 0) for i in range(k)]), gram, float(found["square"] or 0), float(found["least"] or 0)
+
+    at = np.zeros(k)
+    totals, gram, square, _ = look(at, at)
+    scale = wanted.sum() or totals.sum() or 1.0
+    values, vectors = np.linalg.eigh(gram / scale)
+    apart = values > 1e-10 * values.max()
+    # in these axes the second moments of all rows are 1; along the others no rate changes any total
+    axes = vectors[:, apart] / np.sqrt(values[apart])
+    goal, damping, before = wanted / scale, DAMPING[0], np.inf
+    height = square / scale / 2
     for _ in range(STEPS):
-        sums = table.agg(*(F.sum(n * rate * p[i]).alias(f"t{i}") for i in range(k))).first()
-        miss = np.array([float(s or 0) for s in sums]) - wanted
-        if np.abs(miss).max() <= TOLERANCE * max(wanted.sum(), 1e-300):
+        miss = totals / scale - goal
+        slope = axes.T @ miss
+        size = float(np.sqrt(slope @ slope))
+        if np.abs(miss).max() <= TOLERANCE or size <= 1e-12:
             break
-        pull = inverse @ miss
-        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * float(pull[i]) for i in range(1, k)), p[0] * float(pull[0])))
-    return rate
+        step = axes @ -np.linalg.solve(axes.T @ gram @ axes / scale + damping * np.eye(len(slope)), slope)
+        damping, toward, part = max(damping / 10, DAMPING[1]), axes @ slope, 1.0
+        while True:
+            totals, gram, square, least = look(at + part * step, toward)
+            new = square / scale / 2 - goal @ (at + part * step)
+            if new <= height + 1e-4 * part * (miss @ step) or part < 1e-6:
+                break
+            part /= 2
+        at, height = at + part * step, new
+        # met targets are a mean of posteriors, so none lies on the far side of them: if all do, the targets are out of reach
+        if least > goal @ toward and abs(before - size) <= TOLERANCE * size:
+            break
+        before = size
+    miss = totals - wanted
+    if np.abs(miss).max() > TOLERANCE * scale:
+        warnings.warn(f"rates miss the target tokens {wanted.tolist()} by {miss.tolist()}", stacklevel=2)
+    return F.greatest(F.lit(0.0), dot(at) + 1.0)
 
 
 def mix_to_targets(
@@ -104,7 +152,7 @@ def mix_to_targets(
     ``labels`` (id and ``domain_col``) names the domain of some tracks; ``targets`` gives each domain its share of ``tokens``
     (default: all tokens of the table, so rates average 1). Returns the id, ``n_tokens`` (words of the whole text),
     ``posterior`` (map of domain to probability) and ``rate``: how often to take the track in expectation, 0 or more. Expected
-    totals are ``sum(rate * n_tokens * posterior)``; they match the targets unless no nonnegative rates can.
+    totals are ``sum(rate * n_tokens * posterior)``; they match the targets unless no nonnegative rates can; a warning then names the misses.
 
     The classifier counts at most ``sample`` labelled tracks of a domain, chosen by a hash of the id; everything else covers all
     tracks. Labels that are null or not in ``targets``, and label rows with a null id, are ignored; without any label all
