@@ -27,9 +27,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies; documents without an id all stay."""
-    first = near_duplicates(docs, "doc_id", "text").filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near-copies; documents without an id all stay.
+
+    Rows are judged, not ids: rows that repeat an id with different texts are documents of their own. The smallest id stays, of one
+    id the smallest SHA-256 of the text, and of equal id and text the smallest other columns.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        first = near_duplicates(docs, "doc_id", "text").filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+        chosen = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    else:
+        key = F.struct("doc_id", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("hash"))
+        keyed = named.withColumn("_row", key)
+        first = near_duplicates(keyed, "_row", "text").filter("kept").select("_row").distinct()
+        single = keyed.groupBy("_row").agg(F.min(F.struct("lang", "source", "n_chars", "text", "doc_id")).alias("_doc"))
+        chosen = single.join(first, "_row", "left_semi").select("_doc.*").select(*COLUMNS)
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 

@@ -79,6 +79,18 @@ def test_one_id_with_two_texts_links_both(spark):
     assert {r["component_id"] for r in minhash.near_duplicates(rows).collect()} == {1}
 
 
+def test_near_dedup_judges_rows_not_ids(spark):
+    from corpus_pipeline import COLUMNS, near_dedup
+
+    a, b = ROWS[0][1], "an altogether different text of ten words stands here alone"
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, b + " x"), (7, None), (7, ""), (8, "u v"), (8, "u v"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, "xx", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_dedup(spark, docs, "")
+    assert got.columns == list(COLUMNS)
+    want = [(1, a), (5, b), (7, None), (7, ""), (8, "u v"), (None, a), (None, a)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_perplexity(tracks):
     got = by_id(ngram.judge_perplexity(tracks, tracks.filter("track_id = 6")), "n_signs", "perplexity", "kept")
     assert len(got) == len(ROWS) and (3, 0, None, False) in got and (4, 0, None, False) in got
