@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import chat, fixity, language, minhash, mixing, ngram, pii, rules, suffix, winnow
+from vecloom.llm import chat, fixity, language, manifest, minhash, mixing, negatives, ngram, packing, pii, rules, suffix, winnow
 from vecloom.llm.lookup import rows_of
 from vecloom.plans.registry import table
 from vecloom.session import materialize
@@ -206,3 +206,85 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record", F.when(damaged, F.concat("record", F.lit(b"x"))).otherwise(F.col("record"))
     )
     return fixity.audit_fixity(packed, replica).withColumnRenamed("track_id", "page_id")
+
+
+@query(
+    "op11_hard_negatives",
+    r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 10
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genre = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    store = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", genre.alias("genre"))
+    return negatives.mine_hard_negatives(store, F.col("track_id") % 100 == 0)
+
+
+#: id that follows each document, and ids that a sequence holds
+END_ID, SEQUENCE_IDS = 2, 1024
+
+
+@query("op12_best_fit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_best_fit(tracks(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), END_ID, capacity=SEQUENCE_IDS)
+    return packed.select(F.col("track_id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n}", "text")
+) + ")"
+
+
+# CRC-32 of a decimal number: its signs one after the other, eight shifts each
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+
+@query(
+    "op13_manifest",
+    rf"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS now,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT *, {_CRC} AS crc FROM documents)),
+tree(level, lang, pos, hash, n) AS (SELECT 0, lang, pos, leaf, n FROM leaves
+    UNION ALL SELECT level + 1, lang, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+subroots AS (SELECT lang, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper_tree(level, pos, hash, n) AS (SELECT 0, pos, subroot, n FROM subroots
+    UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (n + 1) // 2 FROM upper_tree WHERE n > 1 GROUP BY level, pos // 2, n),
+low_steps AS (SELECT l.doc_id, l.lang, v.level AS depth, (l.pos >> v.level) & 1 AS odd, t.hash FROM leaves l
+    JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) v ON l.lang IS NOT DISTINCT FROM v.lang
+    LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.level = v.level AND t.pos = xor(l.pos >> v.level, 1)),
+high_steps AS (SELECT s.lang, 1000 + v.level AS depth, (s.pos >> v.level) & 1 AS odd, t.hash FROM subroots s
+    CROSS JOIN (SELECT DISTINCT level FROM upper_tree WHERE n > 1) v LEFT JOIN upper_tree t ON t.level = v.level AND t.pos = xor(s.pos >> v.level, 1)),
+steps AS (SELECT doc_id, depth, odd, hash FROM low_steps UNION ALL SELECT l.doc_id, h.depth, h.odd, h.hash FROM leaves l JOIN high_steps h ON l.lang IS NOT DISTINCT FROM h.lang),
+paths AS (SELECT doc_id, sha256(coalesce(string_agg(hash, '' ORDER BY depth), '')) AS proof_sha256,
+    list(CASE WHEN hash IS NULL THEN '=' WHEN odd = 1 THEN 'l' || hash ELSE 'r' || hash END ORDER BY depth) AS way FROM steps GROUP BY doc_id),
+folded AS (SELECT l.*, coalesce(proof_sha256, sha256('')) AS proof_sha256, list_reduce(list_concat(['n' || now], coalesce(way, [])), lambda a, s:
+    'n' || sha256(CASE s[1] WHEN 'l' THEN s[2:] || a[2:] WHEN 'r' THEN a[2:] || s[2:] ELSE a[2:] END))[2:] AS folded_root FROM leaves l LEFT JOIN paths USING (doc_id))
+SELECT f.doc_id, f.leaf, s.subroot, r.hash AS root, f.proof_sha256, f.folded_root, f.folded_root = r.hash AS verified
+FROM folded f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT hash FROM upper_tree WHERE n = 1) r
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against their own manifest, after some have had one added to ``n_chars``."""
+    documents = table(spark, sf_dir, "documents")
+    described = {"id_col": "doc_id", "group_col": "lang", "fields": ("doc_id", "source", "lang", "n_chars", "text")}
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = documents.withColumn("n_chars", F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    checked = manifest.verify_rows(manifest.merkle_manifest(documents, **described), tampered, **described)
+    siblings = F.transform(F.filter("siblings", lambda s: s["hash"].isNotNull()), lambda s: s["hash"])
+    proof = F.sha2(F.array_join(siblings, ""), 256)
+    return checked.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
