@@ -1,10 +1,13 @@
 import json
 import os
+import pathlib
 import random
+import threading
 import time
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -13,10 +16,13 @@ from vecloom.operators import compare, curation, inference, linking, reports, sa
 from vecloom.operators import labels as L
 from vecloom.operators.quantiles import exact_quantiles
 from vecloom.operators.ranking import global_positions, group_positions, salt_bucket
-from vecloom.sources import files, store, tables
-from vecloom.streaming.ingest import ingest_stream, write_batch
-from vecloom.functions.titles import title_dedup_key
+from vecloom.functions import hashing
 from vecloom.functions.hashing import manifest_digest, video_id_from_url
+from vecloom.functions.titles import title_dedup_key
+from vecloom.session import materialize
+from vecloom.sources import commits, files, remote, store, tables
+from vecloom.streaming import ingest
+from vecloom.streaming.ingest import ingest_stream, write_batch
 
 TRACK = "track_id string, path string, title string, embedding array<float>"
 
@@ -44,6 +50,63 @@ def test_scan_files(spark, tmp_path):
     assert files.scan_files(spark, f"file://{tmp_path}/").count() == len(got)
 
 
+def reference_walk(root, suffixes):
+    """What a recursive walk of the folder gives: sorted by parts, without dot names below the root."""
+    found = []
+    for p in sorted(pathlib.Path(root).rglob("*")):
+        if p.is_file() and not any(x.startswith(".") for x in p.relative_to(root).parts) and p.suffix.lower() in suffixes:
+            found.append(str(p))
+    return found
+
+
+def test_listing_by_tasks_keeps_underscores(spark, tmp_path):
+    names = ["_x/a.flac", "_b.mp3", "a/_y/_z.Opus", ".dot/a.flac", "a/.dot/_x/b.mp3", "a/.c.wav", "a b/ü %41#.m4a", "a/b/c/d/e/f.ogg", "_x/a.txt", "noext"]
+    for name in names:
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * len(name))
+    (tmp_path / "empty/deeper").mkdir(parents=True)
+    os.symlink(tmp_path, tmp_path / "a/loop")
+    os.symlink(tmp_path / "_b.mp3", tmp_path / "a/link.mp3")
+    got = files.scan_files(spark, str(tmp_path)).orderBy(files.scan_order()).collect()
+    assert [r["path"] for r in got] == reference_walk(tmp_path, {".flac", ".wav", ".ogg", ".opus", ".mp3", ".m4a"})
+    assert {r["path"]: r["length"] for r in got}[str(tmp_path / "_x/a.flac")] == 9
+    whole = remote.list_tree(spark, str(tmp_path))
+    assert whole.where("path LIKE '%/.dot/%'").count() == 3 and whole.where("reason IS NOT NULL").isEmpty()
+    gone = remote.list_tree(spark, str(tmp_path / "nowhere")).collect()
+    assert len(gone) == 1 and "FileNotFound" in gone[0]["reason"]
+
+
+def test_fingerprints_of_files(spark, tmp_path):
+    """Ids from the ends of files equal those of whole contents; size doesn't matter; what can't be read has a reason."""
+    mib = 1 << 20
+    contents = {"a": b"x" * 12288, "b": b"\0" * 100, "c": b"\0" * 101, "d": bytes(3 * mib), "e": b"\1" + bytes(3 * mib - 1), "f": bytes(3 * mib - 1) + b"\1", "g": b"", "h": bytes(2 * mib), "i": b"x" * 12288}
+    for name, data in contents.items():
+        (tmp_path / f"{name}.flac").write_bytes(data)
+    with open(tmp_path / "sparse.flac", "wb") as file:  # 3 GiB that take no disk
+        file.truncate(3 << 30)
+    listing = files.scan_files(spark, str(tmp_path)).select("path", "length").union(spark.createDataFrame([(str(tmp_path / "gone.flac"), 5), (None, 5)], "path string, length long"))
+    for seed in (42, 0):
+        got = {os.path.basename(r["path"] or "none"): r for r in remote.fingerprint_files(listing, seed=seed).collect()}
+        assert len(got) == len(contents) + 3
+        for name, data in contents.items():
+            body = data if len(data) <= 2 * mib else data[:mib] + data[-mib:]
+            assert got[f"{name}.flac"]["track_id"] == xxhash.xxh64(len(data).to_bytes(8, "little") + body, seed=seed).hexdigest()
+        whole = xxhash.xxh64((3 << 30).to_bytes(8, "little") + bytes(2 * mib), seed=seed).hexdigest()
+        assert got["sparse.flac"]["track_id"] == whole and got["sparse.flac"]["length"] == 3 << 30
+        assert got["gone.flac"]["track_id"] is None and "FileNotFound" in got["gone.flac"]["reason"] and got["none"]["reason"] == "no path"
+    assert len({r["track_id"] for r in got.values() if r["track_id"]}) == len(contents)  # a and i are one content
+    short = spark.createDataFrame([(k, v) for k, v in contents.items()], "name string, content binary")
+    by_content = {r["name"]: r["id"] for r in short.select("name", hashing.content_fingerprint(F.col("content")).alias("id")).collect()}
+    by_file = {os.path.basename(r["path"])[:1]: r["track_id"] for r in remote.fingerprint_files(listing.where("path NOT LIKE '%sparse%'")).collect() if r["track_id"]}
+    assert by_file == by_content
+    sha = {r["name"]: r["id"] for r in short.select("name", hashing.content_fingerprint_sha(F.col("content")).alias("id")).collect()}
+    assert {os.path.basename(r["path"])[:1]: r["track_id"] for r in remote.fingerprint_files(listing, algorithm="sha256").where("length < 4000000 AND track_id IS NOT NULL").collect()} == sha
+    assert remote.fingerprint_files(listing.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        remote.fingerprint_files(listing, algorithm="md5")
+
+
 def test_dot_names_above_the_root_do_not_hide(spark):
     df = spark.createDataFrame([("/.x/lib/a.ogg",), ("/.x/lib/.b/a.ogg",), ("/.x/lib/_c.wav",), ("/.x/lib/.mp3",)], "path string")
     got = {r["path"] for r in files.select_audio(df, "/.x/lib").collect()}
@@ -149,7 +212,17 @@ def test_store_round_trip_and_deltas(spark, tmp_path):
     check()
     store.compact(spark, path)
     check()
-    os.remove(f"{path}/base-0000000004/_SUCCESS")  # a write that never finished is not seen
+    commits.write_folder(track(spark, ("9", "/x", "x", [1.0])), path, "delta")  # a writer that never committed is not seen
+    check()
+    assert [r["kind"] for r in store.history(spark, path).orderBy("version").collect()] == ["base", "delta", "delta", "base"]
+    assert {r["track_id"] for r in store.scan_store(spark, path, version=1).collect()} == {"1", "2"}
+    assert {r["path"] for r in store.scan_store(spark, path, version=2).collect()} == {"/a", "/b", "/c"}
+    with pytest.raises(ValueError, match="no version 9"):
+        store.scan_store(spark, path, version=9)
+    os.remove(f"{path}/_log/_last_base")  # only a hint
+    check()
+    gone = store.drop_superseded(spark, path, 0)
+    assert len(gone) == 4
     check()
     assert store.scan_store(spark, path).columns == [f.name for f in store.STORE.fields]
 
@@ -222,6 +295,150 @@ def test_stream_is_resumable_and_idempotent(spark, tmp_path):
     assert rows() == {"1": "/a", "2": "/late", "3": "/c"}
 
 
+def test_a_delta_committed_during_compaction_stays(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    store.write_store(track(spark, ("1", "/a", "x", [1.0])), path)
+    store.write_delta(track(spark, ("2", "/b", "y", [2.0])), path)
+    read, wait = threading.Event(), threading.Event()
+    write = commits.write_folder
+
+    def slow(df, path, kind, **options):
+        name = write(df, path, kind, **options)
+        if kind == "base":
+            read.set()
+            assert wait.wait(60)
+        return name
+
+    monkeypatch.setattr(commits, "write_folder", slow)
+    compaction = threading.Thread(target=store.compact, args=(spark, path))
+    compaction.start()
+    assert read.wait(60)
+    # the base is written but not committed: another writer adds a row and changes one that the base holds
+    store.write_delta(track(spark, ("3", "/c", "z", [3.0]), ("1", "/a", "newer", [9.0])), path)
+    wait.set()
+    compaction.join()
+    now = commits.state(spark, path)
+    assert now.base.version > now.deltas[0].version > now.base.covers and len(now.deltas) == 1
+    assert {r["track_id"]: r["title"] for r in store.scan_store(spark, path).collect()} == {"1": "newer", "2": "y", "3": "z"}
+    assert len(store.drop_superseded(spark, path, 0)) == 2  # the folders before it, the late delta not among them
+    assert store.scan_store(spark, path).count() == 3
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "s")
+    failed = []
+
+    def add(k):
+        try:
+            for i in range(3):
+                store.write_delta(track(spark, (f"{k}-{i}", f"/{k}/{i}", "t", [float(i)])), path)
+            if k % 2:
+                store.compact(spark, path)
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed
+    assert {r["track_id"] for r in store.scan_store(spark, path).collect()} == {f"{k}-{i}" for k in range(4) for i in range(3)}
+    numbers = commits.versions(spark, path)
+    assert numbers == list(range(1, 15))  # twelve deltas, two bases, each with a number of its own
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    name = f"{tmp_path}/_log/00000000000000000001.json"
+    wins = []
+    threads = [threading.Thread(target=lambda k=k: wins.append(commits.create_absent(spark, name, f"writer {k}")) ) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sum(wins) == 1 and len(os.listdir(tmp_path / "_log")) == 1
+    assert commits.create_absent(spark, f"{tmp_path}/_log/00000000000000000002.json", "x")
+
+
+def test_a_tag_written_again_keeps_its_place(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.write_delta(track(spark, ("1", "/a", "batch 0", [1.0]), ("2", "/b", "batch 0", [1.0])), path, "run.0")
+    store.write_delta(track(spark, ("1", "/a", "later", [1.0])), path)
+    store.write_delta(track(spark, ("1", "/a", "batch 0 again", [1.0]), ("2", "/b", "batch 0 again", [1.0])), path, "run.0")
+    titles = lambda: {r["track_id"]: r["title"] for r in store.scan_store(spark, path).collect()}
+    assert titles() == {"1": "later", "2": "batch 0 again"}
+    store.compact(spark, path)
+    assert store.write_delta(track(spark, ("1", "/a", "too late", [1.0])), path, "run.0") is None
+    assert titles() == {"1": "later", "2": "batch 0 again"}
+    assert store.write_delta(track(spark, ("1", "/a", "batch 1", [1.0])), path, "run.1")
+    assert titles()["1"] == "batch 1"
+
+
+def _scanned(df):
+    """Rows that the scans of a plan gave out."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+            if node.nodeName().startswith("Scan parquet"):
+                total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_looking_up_few_ids_reads_few_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROW_GROUP_BYTES", 1 << 18)
+    path, n = str(tmp_path / "s"), 60_000
+    rows = spark.range(n).select(
+        F.md5(F.col("id").cast("string")).alias("track_id"), F.lit("/p").alias("path"),
+        F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.rand(1).cast("float") + k).alias("embedding"),
+    )
+    store.write_store(rows, path)
+    asked = spark.createDataFrame([(hashing_md5(k),) for k in range(0, n, n // 10)][:10], "track_id string")
+    got = store.get_embeddings(store.scan_store(spark, path), asked)
+    assert _scanned(got) <= n // 4 and got.count() == 10
+    absent = spark.createDataFrame([("0" * 31 + f"{k}",) for k in range(10)] + [("5" * 32,), (None,)], "track_id string")
+    none = store.get_embeddings(store.scan_store(spark, path), absent)
+    assert _scanned(none) == 0 and none.count() == 0  # inside the ranges, but the Bloom filters know better
+    many = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("track_id"))
+    assert store.get_embeddings(store.scan_store(spark, path), many).count() == 3000
+
+
+def hashing_md5(k):
+    import hashlib
+
+    return hashlib.md5(str(k).encode()).hexdigest()
+
+
+def test_stream_state_knows_ids_without_reading_the_store(spark, tmp_path, monkeypatch):
+    src, path, mark = str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c")
+    store.write_store(track(spark, ("1", "/old", "x", [1.0])), path)
+    batch = track(spark, ("1", "/new", "x", [2.0]), ("2", "/z", "y", [2.0]), ("2", "/b/c", "first", [2.0]), ("2", "/b.c", "y", [2.0]), ("3", "/c", "y", None), (None, "/n", "y", [1.0]))
+    batch.coalesce(1).write.mode("append").parquet(src)
+    reads = []
+    read = ingest.scan_store
+    monkeypatch.setattr(ingest, "scan_store", lambda *a, **k: reads.append(a) or read(*a, **k))
+    plans = []
+    write = ingest.write_delta
+    monkeypatch.setattr(ingest, "write_delta", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or write(df, *a))
+    run = lambda: ingest_stream(spark, src, path, mark, schema=batch.schema, files_per_trigger=1).awaitTermination()
+    run()
+    rows = lambda: {r["track_id"]: r["path"] for r in store.scan_store(spark, path).collect()}
+    assert rows() == {"1": "/old", "2": "/b/c"}
+    assert len(reads) == 1  # to announce the ids at the start
+    track(spark, ("3", "/late", "now it can be read", [3.0]), ("2", "/a", "too late", [3.0])).coalesce(1).write.mode("append").parquet(src)
+    track(spark, ("4", "/d", "y", [4.0])).coalesce(1).write.mode("append").parquet(src)
+    store.write_delta(track(spark, ("4", "/other", "of another writer", [4.0])), path)
+    run()
+    assert rows() == {"1": "/old", "2": "/b/c", "3": "/late", "4": "/other"}
+    assert len(reads) == 1  # the other writer's ids came from its delta alone
+    assert plans and not any("/s/base-" in p or "/s/delta-" in p for p in plans)
+    run()
+    assert rows() == {"1": "/old", "2": "/b/c", "3": "/late", "4": "/other"}
+
+
 # ---- positions and quantiles
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
@@ -16,6 +18,7 @@ from vecloom.plans import fixtures as X
 from vecloom.plans.registry import query, r6, sql_r6, sql_salt, sql_uniform, table
 from vecloom.session import scratch_path, spread
 from vecloom.sources import files as files_source
+from vecloom.sources import remote
 from vecloom.sources import store as store_source
 from vecloom.sources import tables as tables_source
 from vecloom.streaming.ingest import ingest_stream
@@ -49,6 +52,33 @@ def s1(spark, sf_dir):
     return files_source.select_audio(_listing(spark, sf_dir), "/lib")
 
 
+# a tree of files: names with an underscore count, dot names and what is below them don't
+_TREE_SQL = """tree AS (SELECT CASE vec_id % 6 WHEN 0 THEN 'a/' || vec_id || '.flac' WHEN 1 THEN '_x/' || vec_id || '.MP3' WHEN 2 THEN '.hidden/b/' || vec_id || '.flac'
+    WHEN 3 THEN 'a/_b/' || vec_id || '.txt' WHEN 4 THEN 'a/.c' || vec_id || '.mp3' ELSE 'deep/er/' || vec_id % 5 || '/_' || vec_id || '.ogg' END AS path,
+    repeat('ab', vec_id % 50) AS content FROM embeddings)"""
+
+
+@query(
+    "s1_scan_files",
+    f"""WITH {_TREE_SQL} SELECT path, CAST(length(content) AS BIGINT) AS length, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS place
+    FROM tree WHERE regexp_matches(path, '[.](flac|MP3|ogg|mp3)$') AND NOT regexp_matches(path, '(^|/)[.]')""",
+)
+def s1_files(spark, sf_dir):
+    """Files written by tasks and listed by tasks, in scan order."""
+    i = F.col("vec_id")
+    names = ("a/%d.flac", "_x/%d.MP3", ".hidden/b/%d.flac", "a/_b/%d.txt", "a/.c%d.mp3")
+    name = F.concat(F.lit("deep/er/"), (i % 5).cast("string"), F.format_string("/_%d.ogg", i))
+    for k, form in enumerate(names):
+        name = F.when(i % 6 == k, F.format_string(form, i)).otherwise(name)
+    tree = table(spark, sf_dir, "embeddings").select(name.alias("path"), F.repeat(F.lit("ab"), (i % 50).cast("int")).alias("content"))
+    root = scratch_path(spark, "tree")
+    remote.write_files(tree, root)
+    found = files_source.scan_files(spark, root)
+    below = H.relative_path(F.col("path"), re.sub("^file:/+", "/", root))
+    place = F.row_number().over(Window.orderBy(files_source.scan_order(below))) - 1
+    return found.select(below.alias("path"), "length", place.cast("long").alias("place"))
+
+
 _STORE_OUT = "track_id, path, title, artist, album, genre, year, model_version, embedding_dim"
 
 
@@ -319,14 +349,14 @@ def h1_same(spark, sf_dir):
     return ids.join(first, ["track_id", "seed0_id"]).select("doc_id", "first_doc_id")
 
 
-@query(
-    "h1_content_fingerprint_sha",
-    """WITH b AS (SELECT doc_id, encode(text) AS c, octet_length(encode(text)) AS n FROM documents),
+_FINGERPRINT_SQL = """WITH b AS (SELECT doc_id, encode(text) AS c, octet_length(encode(text)) AS n FROM documents),
     z AS (SELECT *, format('{:016x}', n) AS x FROM b)
     SELECT doc_id, sha256(unhex(substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2))
       || CASE WHEN n <= 2048 THEN c ELSE unhex(substr(hex(c), 1, 2048)) || unhex(substr(hex(c), 2 * (n - 1024) + 1, 2048)) END) AS track_id
-    FROM z""",
-)
+    FROM z"""
+
+
+@query("h1_content_fingerprint_sha", _FINGERPRINT_SQL)
 def h1_sha(spark, sf_dir):
     content = F.encode("text", "utf-8")
     return spread(table(spark, sf_dir, "documents")).select(
@@ -334,6 +364,16 @@ def h1_sha(spark, sf_dir):
     )
 
 
+@query("h1_fingerprint_files", _FINGERPRINT_SQL)
+def h1_files(spark, sf_dir):
+    """The same ids from files, of which only the ends are read."""
+    name = F.format_string("%d/%d.flac", F.col("doc_id") % 10, F.col("doc_id"))
+    root = scratch_path(spark, "files")
+    remote.write_files(spread(table(spark, sf_dir, "documents")).select(name.alias("path"), F.encode("text", "utf-8").alias("content")), root)
+    found = remote.fingerprint_files(files_source.scan_files(spark, root), head_tail=1024, algorithm="sha256")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.flac$", 1).cast("long").alias("doc_id"), "track_id")
+
+
 @query(
     "h2_manifest_digest",
     f"""WITH {X.STORE_SQL}, r AS (SELECT vec_id, sha256(path) AS d, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM store),

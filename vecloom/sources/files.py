@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import relative_path
 from vecloom.sources.paths import qualified_directory
+from vecloom.sources.remote import list_tree, reachable
 
 
 def scan_files(
@@ -19,14 +20,19 @@ def scan_files(
 ) -> DataFrame:
     """``path, length, modified`` of the audio files below ``root``.
 
-    The file source lists the tree and reads no content unless it is asked for. It hides names that
-    start with ``_``; where such files matter, keep a listing table and give it to ``select_audio``.
+    Tasks list the tree level by level (``list_tree``), so every name counts that has no dot in front, also one that starts with ``_``.
+    Only on a file system that tasks can't open themselves, or with ``content``, does Spark's file source list: it hides names that
+    start with ``_``; where such files matter, keep a listing table there and give it to ``select_audio``.
     The root is qualified by its file system first, so a plain root of a remote default system works; paths come back with
     scheme and host, but for local files. A root that is missing or a file raises ``NotADirectoryError``.
     """
     qualified = qualified_directory(spark, root)
     if qualified is None:
         raise NotADirectoryError(f"{root} is not a directory")
+    plain_root = re.sub("^file:/+", "/", qualified)
+    if not content and reachable(qualified):
+        listing = list_tree(spark, plain_root, skip_hidden=True).where("NOT is_directory")
+        return select_audio(listing.select("path", "length", "modified"), plain_root, suffixes)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
         files = reader.load(qualified)
@@ -35,7 +41,7 @@ def scan_files(
     wanted = ["path", "length", F.col("modificationTime").alias("modified")]
     listing = files.select(*wanted, *(["content"] if content else []))
     plain = F.regexp_replace("path", "^file:/+", "/")
-    return select_audio(listing.withColumn("path", plain), re.sub("^file:/+", "/", qualified), suffixes)
+    return select_audio(listing.withColumn("path", plain), plain_root, suffixes)
 
 
 def select_audio(
