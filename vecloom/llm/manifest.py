@@ -1,6 +1,6 @@
 """A Merkle manifest of a dataset, with leaf coordinates from bitmap ranks.
 
-Leaves of a group (a split, a language) are ordered by id. Ids never get sorted: each task collects them in compressed bitmaps of 65,536
+Leaves of a group (a split, a language) are ordered by id. Ids never get sorted: each task collects them in compressed bitmaps of 4,096
 ids, the bitmaps of a group are merged, and popcount directories count the ids before each word, bitmap and range of bitmaps. The
 rank of an id, looked up in them, is the coordinate of its leaf. Coordinates then address slots: 4,096 neighbours fill an
 array of slots by key, and an array reduces twelve levels of the tree at once.
@@ -21,14 +21,16 @@ from vecloom.session import materialize
 #: levels that one array of slots reduces
 LEVELS = 12
 SLOTS = 1 << LEVELS
-#: ids of a bitmap that is stored as a list: from here on the bits are smaller
-SPARSE = 4096
+#: low bits of an id that a bitmap tells apart; the digits of the rest
+BITS, DIGIT = 12, 17
+#: ids from which on the bits of a bitmap are smaller than a list of places
+SPARSE = 1 << (BITS - 4)
 #: the fields of a manifest row
 FIELDS = ("fma_track_id", "subset", "split", "genre_top", "artist_id", "artist_name", "path")
 
 _RANGE = ("_g", "_top", "_high", "_mid")
 #: the top digit of a null id, before all others
-_NULL_TOP = -(1 << 15) - 1
+_NULL_TOP = -(1 << (63 - BITS - 2 * DIGIT)) - 1
 
 
 def leaf_hash(fields: Sequence[str | Column]) -> Column:
@@ -51,23 +53,23 @@ def _leaves(rows: DataFrame, id_col: str, group_col: str, fields: Sequence[str])
 
 
 def _keyed(entries: DataFrame) -> DataFrame:
-    """The digits of an id: 16 bits for the place in a bitmap (``_low``) and three for the range the bitmap is of."""
-    digit = lambda shift: F.coalesce(F.shiftrightunsigned("_i", shift).bitwiseAND(0xFFFF), F.lit(0)).cast("int")
+    """The digits of an id: the place in a bitmap (``_low``) and three for the range the bitmap is of."""
+    digit = lambda shift, bits: F.coalesce(F.shiftrightunsigned("_i", shift).bitwiseAND((1 << bits) - 1), F.lit(0)).cast("int")
     return entries.select(
         "*",
-        F.coalesce(F.shiftright("_i", 48), F.lit(_NULL_TOP)).cast("int").alias("_top"),
-        digit(32).alias("_high"),
-        digit(16).alias("_mid"),
-        digit(0).alias("_low"),
+        F.coalesce(F.shiftright("_i", BITS + 2 * DIGIT), F.lit(_NULL_TOP)).cast("int").alias("_top"),
+        digit(BITS + DIGIT, DIGIT).alias("_high"),
+        digit(BITS, DIGIT).alias("_mid"),
+        digit(0, BITS).alias("_low"),
     )
 
 
 def pack_bits(places: np.ndarray) -> bytes:
-    """Distinct places below 65,536 as a compressed bitmap: a sorted list of 16-bit numbers, or 8 KB of bits where that is less."""
+    """Distinct places as a compressed bitmap: a sorted list of 16-bit numbers, or all bits where that is less."""
     places = np.unique(places)
     if len(places) < SPARSE:
         return places.astype("<u2").tobytes()
-    bits = np.zeros(1 << 16, np.uint8)
+    bits = np.zeros(1 << BITS, np.uint8)
     bits[places] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -79,7 +81,7 @@ def unpack_bits(packed: bytes) -> np.ndarray:
 
 
 def popcounts(packed: bytes) -> bytes:
-    """The directory of a bitmap: bits set before each of its 1,024 words. A list needs none."""
+    """The directory of a bitmap: bits set before each of its words. A list needs none."""
     if len(packed) < 2 * SPARSE:
         return b""
     ones = np.bitwise_count(np.frombuffer(packed, "<u8")).astype(np.int64)
@@ -115,7 +117,7 @@ def _merge(key: tuple, parts: pa.Table) -> pa.Table:
 def rank_index(entries: DataFrame) -> DataFrame:
     """The merged bitmaps of all groups: a row per range, with its bitmap, its directory, ``_before`` and ``_size``.
 
-    ``_before`` counts the ids of the group in earlier ranges. It is added up digit by digit, over at most 65,536 rows each time.
+    ``_before`` counts the ids of the group in earlier ranges. It is added up digit by digit, over at most 2^18 rows each time.
     """
     keys = "_g string, _top int, _high int, _mid int"
     partial = _keyed(entries).select(*_RANGE, "_low").mapInArrow(_partial_bitmaps, f"{keys}, _bits binary")
