@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import knn, metrics
+from vecloom.operators import balls, cell_index, knn, metrics
 
 
 def unit_rows(n, d, seed=0):
@@ -147,14 +147,104 @@ def test_ragged_width_is_an_error(spark):
         knn.knn_join(df, df, 1).collect()
 
 
-def test_approximate_recall(spark):
-    df = frame(spark, unit_rows(300, 8, 6))
+def test_clustered_vectors_visit_few_blocks(spark):
+    """On clusters the ball bounds leave most pairs unscored; the answer is that of brute force."""
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((24, 16)) * 4
+    x = np.concatenate([c + 0.05 * rng.standard_normal((50, 16)) for c in centers])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df, stats = frame(spark, x), {}
+    got = knn.knn_join(df, df, 5, exclude_self=True, block_rows=40, stats=stats)
+    assert collected(got) == brute(x, list(range(len(x))), 5)
+    assert stats["pairs"] < 0.25 * len(x) ** 2 and stats["leaves"] == 30
+
+
+def test_a_crowded_leaf_is_many_parts(spark, monkeypatch):
+    """Near-copies of one vector are dealt to blocks of bounded size, and exact copies are one row."""
+    monkeypatch.setattr(balls, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    base = unit_rows(1, 8, 10)
+    x = np.concatenate([base + 1e-4 * rng.standard_normal((300, 8)), np.repeat(base, 100, axis=0), unit_rows(100, 8, 11)]).astype(np.float32)
+    df, stats = frame(spark, x), {}
+    got = knn.knn_join(df, df, 4, exclude_self=True, block_rows=20, stats=stats)
+    assert collected(got) == brute(x, list(range(len(x))), 4)
+    assert stats["waves"] <= 5
+
+
+def test_queries_far_from_the_corpus(spark):
+    """A chunk whose own leaf has no rows of the corpus still finds its neighbours."""
+    c, q = unit_rows(80, 4, 12), -3 * unit_rows(30, 4, 13)
+    got = knn.knn_join(frame(spark, q), frame(spark, c), 3, block_rows=8)
+    s = q.astype(np.float64) @ c.astype(np.float64).T
+    assert collected(got) == sorted((i, r, int(j)) for i in range(30) for r, j in enumerate(np.argsort(-s[i], kind="stable")[:3]))
+
+
+# ---- stored index
+
+
+def test_index_reaches_the_recall_it_measures(spark, tmp_path):
+    x = unit_rows(600, 8, 6)
+    df, path = frame(spark, x), str(tmp_path / "index")
+    assert cell_index.build_index(df, path, 20, id_col="id") == 1
+    index = cell_index.open_index(spark, path)
+    assert index.rows.count() == 600 and index.sizes.sum() == 600 and len(index.centers) == 20
+    with pytest.raises(ValueError, match="isn't measured"):
+        cell_index.search_index(index, df, 5, query_id="id")
+    kept = cell_index.calibrate(index, df.where("id % 3 = 0"), 5, 0.9, "id", exclude_self=True)
+    assert kept["recall"] >= 0.9 and kept["n_queries"] == 200 and kept["cells"] < 20
     exact = knn.knn_join(df, df, 5, exclude_self=True)
-    near = knn.ann_topk(df, df, 5, cells=12, probes=8, exclude_self=True, block_rows=64)
-    share = metrics.neighbour_overlap(exact, near, 300, [5]).first()[0]
-    assert 0.7 < share <= 1.0
-    full = knn.ann_topk(df, df, 5, cells=12, probes=12, exclude_self=True, block_rows=64)
-    assert metrics.neighbour_overlap(exact, full, 300, [5]).first()[0] == 1.0
+    near = cell_index.search_index(index, df, 5, query_id="id", exclude_self=True)
+    share = metrics.neighbour_overlap(exact, near, 600, [5]).first()[0]
+    assert 0.87 <= share < 1.0
+    curve = {r["cells"]: r["recall"] for r in cell_index.recall_by_cells(index, df, 5, "id", exclude_self=True).collect()}
+    assert curve[kept["cells"]] == pytest.approx(share) and curve[20] == 1.0  # the measure is what a search gives
+    everywhere = cell_index.search_index(index, df, 5, cells=20, query_id="id", exclude_self=True)
+    assert collected(everywhere) == collected(exact)
+    few = cell_index.search_index(index, df, 3, query_id="id", exclude_self=True)  # measured at 5, good for 3
+    assert few.groupBy("query_id").count().agg(F.min("count")).first()[0] == 3
+    assert collected(cell_index.ann_topk(df, df, 5, target=1.0, exclude_self=True)) == collected(exact)
+
+
+def test_index_takes_deltas_and_keeps_versions(spark, tmp_path):
+    x = unit_rows(200, 6, 14)
+    path = str(tmp_path / "index")
+    old = frame(spark, x[:150])
+    cell_index.build_index(old.unionByName(spark.createDataFrame([(None, [1.0] * 6), (999, None)], "id long, embedding array<float>")), path, 8, id_col="id")
+    moved = x.copy()
+    moved[5] = -x[5]
+    added = frame(spark, moved).where("id >= 150 OR id = 5")
+    cell_index.add_to_index(added, path, id_col="id")
+
+    def answers(version=None, rows=moved, n=200):
+        index = cell_index.open_index(spark, path, version)
+        q = frame(spark, rows).where(f"id < {n}")
+        return collected(cell_index.search_index(index, q, 4, cells=99, query_id="id", exclude_self=True)), brute(rows[:n], list(range(n)), 4)
+
+    got, want = answers()
+    assert got == want
+    got, want = answers(1, x, 150)
+    assert got == want
+    cell_index.calibrate(cell_index.open_index(spark, path), frame(spark, moved), 4, 0.8, "id", exclude_self=True)
+    cell_index.compact_index(spark, path)
+    got, want = answers()
+    assert got == want
+    assert len(cell_index.drop_unused(spark, path, 0)) == 4  # rows and cell counts of two versions
+    with pytest.raises(ValueError, match="isn't measured"):  # the cells' radii are new
+        cell_index.search_index(cell_index.open_index(spark, path), old, 4, query_id="id")
+    cell_index.compact_index(spark, path, refit=True)
+    got, want = answers()
+    assert got == want
+
+
+def test_copies_in_an_index(spark, tmp_path):
+    x = np.concatenate([np.repeat(unit_rows(1, 4, 3), 120, axis=0), unit_rows(40, 4, 4)])
+    path = str(tmp_path / "index")
+    cell_index.build_index(frame(spark, x), path, id_col="id")
+    index = cell_index.open_index(spark, path)
+    got = cell_index.search_index(index, frame(spark, x), 3, cells=99, query_id="id", exclude_self=True)
+    assert collected(got) == brute(x, list(range(160)), 3)
+    with pytest.raises(ValueError, match="no vectors"):
+        cell_index.build_index(frame(spark, x).limit(0), str(tmp_path / "none"), id_col="id")
 
 
 def test_pairwise_similarity(spark):

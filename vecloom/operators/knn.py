@@ -1,13 +1,10 @@
-"""Exact and approximate cosine neighbours.
+"""Exact cosine neighbours; approximate ones are in ``cell_index``.
 
 One query is a scan with a top-k at the end. A join of two tables takes one of three ways:
 
 * the corpus fits one block (its size is checked): the block is broadcast, queries never move;
 * a key restricts the pairs: rows meet on the key, big keys are cut into blocks;
-* otherwise the corpus is split into cells around pivots. Every query is first answered in one
-  block of its own cell; the k-th score found there, and the ball bound
-  ``q.x <= q.p + |q| * radius``, tell which other cells can still hold a neighbour, and only those
-  are visited. The bound needs no unit vectors and drops nothing that belongs to the answer.
+* otherwise blocks of the corpus are visited best first along a ball tree, in waves (``balls``).
 
 Copies of a vector are collapsed to one before any of this: only the smallest ids of a copy group
 can be in an answer. Matrix products run in Arrow batches of bounded size inside the tasks.
@@ -29,8 +26,6 @@ from vecloom.functions import vectors as V
 from vecloom.session import materialize
 
 BLOCK_BYTES = 4 << 20
-MAX_PIVOT_BYTES = 16 << 20
-MAX_PIVOTS = 1024
 SCORE_CELLS = 4_000_000
 PAIRS_PER_TASK = 200_000_000
 
@@ -149,12 +144,13 @@ def knn_join(
     exclude_self: bool = False,
     block_rows: int | None = None,
     pivots: int | None = None,
-    probes: int | None = None,
+    stats: dict | None = None,
 ) -> DataFrame:
     """Top-k of the corpus for every query: ``query_id, neighbor_id, rank`` (0-based), ``score``.
 
     With ``key`` only rows of equal key are compared; rows whose key is NULL match nothing. NaN, infinite or NULL elements raise,
-    whichever way the join takes; so do ids that repeat, where a row is to be kept from meeting itself.
+    whichever way the join takes; so do ids that repeat, where a row is to be kept from meeting itself. ``pivots`` is the number of
+    leaves of the ball tree; ``stats`` receives what it took (``balls.ball_join``).
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -182,11 +178,13 @@ def knn_join(
     else:
         n_rows = corpus.count()
     # the broadcast is bounded by bytes, whatever block size is asked for
-    if probes is None and n_rows <= min(plan.block_rows, fitting):
+    if n_rows <= min(plan.block_rows, fitting):
         return _one_block(q, c.toArrow(), plan)
     if key:
         return _keyed(q, c, plan, n_rows)
-    return _celled(q, c, plan, n_rows, pivots, probes)
+    from vecloom.operators.balls import ball_join
+
+    return ball_join(q, c, plan, n_rows, pivots, stats)
 
 
 class _Plan:
@@ -463,6 +461,11 @@ def _finish(queries: DataFrame, scored: DataFrame, plan: _Plan) -> DataFrame:
     lists = kept.groupBy("vid").agg(
         F.array_sort(F.collect_list(F.struct("_rn", "neighbor_id", "score"))).alias("hits")
     )
+    return _answers(queries, lists, plan)
+
+
+def _answers(queries: DataFrame, lists: DataFrame, plan: _Plan) -> DataFrame:
+    """``lists`` has ``vid`` and its ordered ``hits``; every query that holds the vector gets them, without itself."""
     joined = _with_vid(queries).select("id", "vid").join(lists, "vid")
     hits = F.col("hits")
     if plan.exclude_self and plan.id_type == plan.query_type:
@@ -512,93 +515,7 @@ def _keyed(queries: DataFrame, corpus: DataFrame, plan: _Plan, n_rows: int) -> D
     return _finish(queries, _score_units(left, right, plan, float(n_rows) * rows), plan)
 
 
-# ---- no key: cells around pivots
-
-
-def _celled(
-    queries: DataFrame,
-    corpus: DataFrame,
-    plan: _Plan,
-    n_rows: int,
-    pivots: int | None,
-    probes: int | None,
-) -> DataFrame:
-    spark = corpus.sparkSession
-    rows, dim = plan.block_rows, plan.dim
-    n_pivots = pivots or math.ceil(4 * n_rows / rows)
-    n_pivots = max(1, min(n_pivots, MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * dim)))
-
-    # Any pivots give the same answer, so a hashed share of the rows is enough to draw them from; it
-    # keeps the sort, and what comes to the driver, at a few rows per pivot.
-    share = min(1.0, 16.0 * n_pivots / max(1, n_rows))
-    drawn = corpus.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    picked = drawn.orderBy(F.xxhash64("id")).select("v").limit(4 * n_pivots).toArrow()
-    if not picked.num_rows:
-        picked = corpus.select("v").limit(1).toArrow()
-    # distinct ones in hash order: sorting by value would take them all from one side of the space
-    drawn_rows = _matrix(picked.column("v"), dim)
-    _, first = np.unique(drawn_rows, axis=0, return_index=True)
-    centers = drawn_rows[np.sort(first)[:n_pivots]]
-
-    c = materialize(_nearest(_distinct_corpus(corpus, plan.want), centers, dim), "cells")
-    q = _nearest(_distinct_queries(queries), centers, dim)
-
-    # At most MAX_PIVOTS rows: block counts and radius of every cell.
-    sizes = np.zeros(len(centers), dtype=np.int64)
-    radius = np.zeros(len(centers))
-    stats = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()
-    for s in stats:
-        sizes[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
-    n_sub = np.maximum(1, -(-sizes // rows))
-    q_sizes = {s["cell"]: s["count"] for s in q.groupBy("cell").count().collect()}
-    per_sub = np.array([q_sizes.get(i, 0) for i in range(len(centers))]) / n_sub
-    n_chunk = np.maximum(1, np.ceil(per_sub / rows)).astype(int)
-
-    subs = F.array(*[F.lit(int(x)) for x in n_sub])
-    chunks = F.array(*[F.lit(int(x)) for x in n_chunk])
-    own_sub = F.pmod(F.xxhash64("vid"), F.get(subs, F.col("cell"))).cast("int")
-    own_chunk = F.pmod(F.xxhash64("vid", F.lit("chunk")), F.get(chunks, F.col("cell"))).cast("int")
-    blocks = c.select(F.col("cell").alias("unit"), own_sub.alias("sub"), "v", "ids")
-
-    home = _home_answers(
-        q.select("vid", "v", F.col("cell").alias("unit"), own_sub.alias("sub"), own_chunk.alias("chunk")),
-        blocks.withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("unit")) - 1))
-        ),
-        plan,
-        spark.sparkContext.broadcast((centers, radius, sizes, n_sub)),
-        probes,
-        float(sum(q_sizes.get(i, 0) * sizes[i] / n_sub[i] for i in range(len(centers)))),
-    )
-    home = materialize(home, "home")
-    near = home.select("vid", F.explode("hits").alias("h")).select("vid", "h.neighbor_id", "h.score")
-
-    visits = home.select(
-        "vid", "v", "floor", F.col("unit").alias("home"), F.col("sub").alias("home_sub"),
-        F.explode("visits").alias("unit"),
-    )
-    demand = {r["unit"]: r["count"] for r in visits.select("unit").groupBy("unit").count().collect()}
-    if not demand:
-        return _finish(queries, near, plan)
-    n_waves = [max(1, math.ceil(demand.get(i, 0) / rows)) for i in range(len(centers))]
-    waves = F.array(*[F.lit(n) for n in n_waves])
-    asked = (
-        visits.withColumn("chunk", F.pmod(F.xxhash64("vid", "unit"), F.get(waves, F.col("unit"))).cast("int"))
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.get(subs, F.col("unit")) - 1)))
-        .where((F.col("unit") != F.col("home")) | (F.col("sub") != F.col("home_sub")))
-        .select("unit", "sub", "chunk", F.lit("").alias("g"), "vid", "v", "floor")
-    )
-    offered = blocks.select(
-        "unit",
-        "sub",
-        F.explode(F.sequence(F.lit(0), F.get(waves, F.col("unit")) - 1)).alias("chunk"),
-        F.lit("").alias("g"),
-        "v",
-        "ids",
-    )
-    pairs = float(sum(demand.get(i, 0) * sizes[i] for i in range(len(centers))))
-    far = _score_units(asked, offered, plan, pairs)
-    return _finish(queries, near.unionByName(far), plan)
+# ---- vectors by their nearest centre
 
 
 def _nearest(df: DataFrame, centers: np.ndarray, dim: int) -> DataFrame:
@@ -624,115 +541,6 @@ def _nearest(df: DataFrame, centers: np.ndarray, dim: int) -> DataFrame:
     return df.mapInArrow(assign, schema)
 
 
-def _home_answers(
-    queries: DataFrame, blocks: DataFrame, plan: _Plan, shared, probes: int | None, pairs: float
-) -> DataFrame:
-    """Answer every query in one block of its cell; list the cells that could still improve it."""
-    dim, want = plan.dim, plan.want
-    hit = T.StructType(
-        [T.StructField("neighbor_id", plan.id_type), T.StructField("score", T.DoubleType())]
-    )
-    schema = T.StructType(
-        [
-            T.StructField("vid", T.StringType()),
-            T.StructField("v", queries.schema["v"].dataType),
-            T.StructField("unit", T.IntegerType()),
-            T.StructField("sub", T.IntegerType()),
-            T.StructField("floor", T.DoubleType()),
-            T.StructField("visits", T.ArrayType(T.IntegerType())),
-            T.StructField("hits", T.ArrayType(hit)),
-        ]
-    )
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        centers, radius, sizes, n_sub = shared.value
-        n = left.num_rows
-        if not n:
-            return None
-        q = _matrix(left.column("v"), dim)
-        ids, copies = _flat_ids(right)
-        found, which, what = [], [], []
-        for rows, flat, scores in _block_topk(
-            q, _matrix(right.column("v"), dim), copies, _order_of(ids), want
-        ):
-            found.append(rows), which.append(flat), what.append(scores)
-        rows = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        flat = np.concatenate(which) if which else np.zeros(0, dtype=np.int64)
-        scores = np.concatenate(what) if what else np.zeros(0)
-        counts = np.bincount(rows, minlength=n)
-        ends = np.cumsum(counts)
-        floor = np.full(n, -np.inf)
-        full = counts >= want
-        floor[full] = scores[ends[full] - 1]
-
-        lengths = np.sqrt((q * q).sum(axis=1))
-        bound = q @ centers.T + lengths[:, None] * radius
-        slack = 1e-6 * (1 + np.abs(bound))
-        go = (bound + slack >= floor[:, None]) & (sizes > 0)
-        unit = left.column("unit").to_numpy()
-        alone = n_sub[unit] == 1
-        go[np.nonzero(alone)[0], unit[alone]] = False
-        if probes is not None and probes < go.shape[1]:
-            likely = np.where(go, q @ centers.T, -np.inf)
-            go &= likely >= -np.partition(-likely, probes - 1, axis=1)[:, probes - 1 : probes]
-        at, cells = np.nonzero(go)
-        visit_ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
-        hits = pa.StructArray.from_arrays(
-            [ids.take(pa.array(flat)), pa.array(scores)], names=["neighbor_id", "score"]
-        )
-        return pa.table(
-            {
-                "vid": left.column("vid"),
-                "v": left.column("v"),
-                "unit": left.column("unit"),
-                "sub": left.column("sub"),
-                "floor": pa.array(floor),
-                "visits": pa.ListArray.from_arrays(
-                    pa.array(visit_ends.astype(np.int32)), pa.array(cells.astype(np.int32))
-                ),
-                "hits": pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), hits
-                ),
-            }
-        )
-
-    def guarded(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = answer(left, right)
-        return out if out is not None else _empty_home(left, right)
-
-    left, right = _by_unit(queries, pairs), _by_unit(blocks, pairs)
-    return left.groupBy(*UNIT).cogroup(right.groupBy(*UNIT)).applyInArrow(guarded, schema)
-
-
-def _empty_home(left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, _ = _flat_ids(right)
-    hit = pa.struct([("neighbor_id", ids.type), ("score", pa.float64())])
-    return pa.table(
-        {
-            "vid": pa.array([], pa.string()),
-            "v": pa.array([], pa.list_(pa.float32())),
-            "unit": pa.array([], pa.int32()),
-            "sub": pa.array([], pa.int32()),
-            "floor": pa.array([], pa.float64()),
-            "visits": pa.array([], pa.list_(pa.int32())),
-            "hits": pa.array([], pa.list_(hit)),
-        }
-    )
-
-
-# ---------------------------------------------------------------- approximate
-
-
-def ann_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, *, cells: int = 64, probes: int = 8, **kwargs
-) -> DataFrame:
-    """Approximate top-k: the cells of ``knn_join``, but only the ``probes`` most promising ones
-    are visited after the own block. Scores are exact; a neighbour in an unvisited cell is missed.
-    ``metrics.neighbour_overlap`` against ``knn_join`` measures how many.
-    """
-    return knn_join(queries, corpus, k, pivots=cells, probes=probes, **kwargs)
-
-
 # ---------------------------------------------------------------- a short list against itself
 
 
