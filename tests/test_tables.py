@@ -451,6 +451,18 @@ def test_positions(spark):
     assert list(placed["position"]) == list(range(500))
 
 
+def test_quantiles_of_large_groups_come_from_brackets(spark):
+    """Rows beyond the tight and the loose margin, a value that a third of a group has, and groups of every size."""
+    n = 1_200_000
+    x = F.when(F.col("id") % 3 == 0, 0.25).otherwise((F.xxhash64("id") % 100_003).cast("double"))
+    key = F.when(F.col("id") < 1_050_000, "tight").when(F.col("id") < 1_190_000, "loose").otherwise(F.concat(F.lit("k"), F.floor(F.col("id") / 900)))
+    df = spark.range(n).select(key.alias("k"), x.alias("x"))
+    points = (0.0, 0.001, 0.25, 0.3333, 0.5, 0.95, 1.0)
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, "x", points, ["k"]).collect()}
+    for k, part in df.toPandas().groupby("k"):
+        assert got[k] == pytest.approx(list(np.quantile(part["x"], points)), rel=1e-12), k
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(0)
     x = np.round(np.concatenate([rng.standard_normal(700), np.full(400, 0.5)]), 2)
@@ -766,6 +778,19 @@ def test_many_offers_of_one_title_and_length_bucket(spark):
     assert time.time() - start < 60
 
 
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_albums_are_looked_up_by_their_rarest_run(spark, n):
+    """One title with thousands of tracks and recordings: the index lists no pairs that aren't nearly matches."""
+    left = spark.range(n).selectExpr("'t' AS t", "CASE WHEN id % 50 = 0 THEN substr('ab cd', 1 + id % 4, 2) WHEN id % 7 = 0 THEN '' ELSE concat('the greatest hits ', id) END AS b").distinct()
+    right = spark.range(n).selectExpr("'t' AS t", "array(concat('the greatest hits ', id, ' live'), 'x ab cd', '') AS rel")
+    start = time.time()
+    got = {(r["b"], r["r"]) for r in linking._album_pairs(left, right).collect()}
+    assert time.time() - start < 60
+    if n == 2000:
+        have = {f"the greatest hits {i} live" for i in range(n)} | {"x ab cd"}
+        assert got == {(b, r) for b in {r["b"] for r in left.collect()} if b for r in have if b in r}
+
+
 def test_a_long_stream_leaves_few_folders(spark, tmp_path):
     src, path = str(tmp_path / "in"), str(tmp_path / "store")
     for k in range(12):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
 from vecloom.functions.linkage import norm_text, tokens
-from vecloom.session import materialize
+from vecloom.session import materialize, materialize_all
 
 CAP_MS = 30_000
 GRAM = 6
@@ -43,7 +43,6 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
         (F.coalesce(F.trim("artist"), F.lit("")) != "").alias("has_a"),
         (F.coalesce(F.trim("album"), F.lit("")) != "").alias("has_b"),
     ).where(F.col("t") != "")
-    left = materialize(left, "tracks")
     right = recordings.select(
         "cand",
         norm_text(F.col("title")).alias("t"),
@@ -53,7 +52,7 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
         F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length"),
         F.round(F.coalesce(F.col("base").cast("double"), F.lit(0.0)) * 1000).cast("bigint").alias("base"),
     ).where(F.col("t") != "")
-    right = materialize(right, "recordings")
+    left, right = materialize_all((left, "tracks"), (right, "recordings"))
 
     albums = _album_pairs(left, right)
     offers = right.select("cand", "length", "base", "t", "a", "words")
@@ -115,20 +114,33 @@ def best_match(tracks: DataFrame, recordings: DataFrame, min_score: float = fixe
     )
 
 
+def _grams(text: Column) -> Column:
+    """All runs of ``GRAM`` characters; a shorter text is one of its own length."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
 def _album_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (t, b, r): album b asked for under title t is contained in release r of that title.
 
-    They meet on a short gram: the start of the album is one of the grams of the release.
+    An inverted index of the releases: under each title, the runs of ``GRAM`` characters and how many releases have them. An album
+    is looked up by its rarest run alone, and not at all if no release has one of its runs; so a title of many tracks, or
+    a run that many releases share, lists no pairs that aren't nearly matches. Albums shorter than a run are looked up
+    among the words' beginnings and insides of their own length, under the titles that have such albums.
     """
     asked = left.where(F.col("b") != "").select("t", "b").distinct()
-    asked = asked.withColumn("gram", F.substring("b", 1, GRAM))
-    have = right.select("t", F.explode("rel").alias("r")).where(F.col("r") != "").distinct()
-    places = F.sequence(F.lit(1), F.length("r"))
-    grams = F.flatten(
-        F.transform(places, lambda i: F.array(*[F.substring(F.col("r"), i, F.lit(n)) for n in range(1, GRAM + 1)]))
-    )
-    have = have.withColumn("gram", F.explode(F.array_distinct(grams)))
-    return asked.join(have, ["t", "gram"]).where(F.col("r").contains(F.col("b"))).select("t", "b", "r")
+    asked = asked.withColumn("size", F.least(F.length("b"), F.lit(GRAM)))
+    sizes = asked.groupBy("t").agg(F.collect_set("size").alias("sizes"))  # at most GRAM of them
+    have = right.join(sizes, "t").select("t", "sizes", F.explode("rel").alias("r")).where(F.col("r") != "").distinct()
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("r") - n + 1), lambda i: F.substring(F.col("r"), i, n))
+    listed = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("r")), runs))
+    index = materialize(have.select("t", "r", F.explode(F.array_distinct(listed)).alias("gram")), "release-index")
+    counts = index.groupBy("t", "gram").agg(F.count(F.lit(1)).alias("n"))
+    probes = asked.select("t", "b", F.explode(_grams(F.col("b"))).alias("gram")).join(counts, ["t", "gram"], "left")
+    rarest = probes.groupBy("t", "b").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("p")
+    ).where("p.n > 0").select("t", "b", "p.gram")
+    return rarest.join(index, ["t", "gram"]).where(F.col("r").contains(F.col("b"))).select("t", "b", "r")
 
 
 def best_by_duration(asks: DataFrame, offers: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.session import materialize
 
-BUCKETS = 256
+#: a sketch's rank error is at most one in so many rows; groups whose brackets may be broadcast
+ACCURACY, BROADCAST_GROUPS = 10_000, 100_000
+#: share of a group on either side of a point that its bracket takes in, by the rows of the group; smaller groups are sorted whole
+MARGINS = ((1_000_000, 2.0 / ACCURACY), (1_000, 0.005))
 
 
 def exact_quantiles(
@@ -20,52 +23,55 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys, q`` with one number per point, equal to interpolating the sorted values.
 
-    ``percentile`` would keep every distinct value of a group in one task. Here equal values are counted first; a mergeable
-    sketch proposes borders; bucket totals tell which buckets hold the wanted ranks; only those buckets are sorted, each on its
-    own. Tables of any size take this way.
+    Two passes, and no shuffle of all values. The first merges quantile sketches, whose error bound gives a bracket of values around
+    each point. The second counts what lies below a bracket, where the rows are, and sorts only the distinct values
+    inside: a few of ``ACCURACY`` parts of a group. A bracket that missed its rank would raise, not mislead.
     """
     # one struct column stands for the keys, so NULL keys form a group like any other
     rows = df.where(F.col(value).isNotNull()).select(
         F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(value).cast("double").alias("x")
     )
-    counts = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    borders = rows.groupBy("g").agg(
-        F.percentile_approx("x", cuts, 1000).alias("borders"), F.count(F.lit(1)).alias("n")
-    )
-    placed = counts.join(borders, "g").select(
-        "g", "x", "c", "n", F.size(F.filter("borders", lambda b: b <= F.col("x"))).alias("bucket")
-    )
-    placed = materialize(placed, "quantiles")
-    totals = placed.groupBy("g", "bucket").agg(F.sum("c").alias("t"), F.first("n").alias("n"))
-    so_far = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("end", F.sum("t").over(so_far))
-    wanted = F.array(
+    fractions = [min(1.0, max(0.0, p + side * margin)) for p in points for side in (-1, 1) for _, margin in MARGINS]
+    sketch = rows.groupBy("g").agg(F.percentile_approx("x", fractions, ACCURACY).alias("b"), F.count(F.lit(1)).alias("n"))
+    few = True
+    if keys:
+        sketch = materialize(sketch, "quantile-brackets")
+        few = sketch.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+    def border(at: int, point: float, side: int) -> Column:
+        out = F.when(F.lit(False), F.lit(0.0))
+        for k, (least, margin) in enumerate(MARGINS):
+            value = F.get("b", F.lit(len(MARGINS) * at + k)) if 0 < point + side * margin < 1 else F.lit(None).cast("double")
+            out = out.when(F.col("n") >= least, value)
+        return out
+
+    brackets = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"))
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.lit(float(p)) * (F.col("n") - 1)).alias("at"),
+                border(2 * i, p, -1).alias("lo"),
+                border(2 * i + 1, p, 1).alias("hi"),
+            )
             for i, p in enumerate(points)
         ]
     )
-    start = F.col("end") - F.col("t")
-    ranks = (
-        totals.withColumn("w", F.explode(wanted))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))))
-        .where((F.col("rank") >= start) & (F.col("rank") < F.col("end")))
-        .select("g", "bucket", start.alias("start"), "w.i", "w.at", "rank")
-    )
-    chosen = ranks.select("g", "bucket", "start").distinct()
-    inside = Window.partitionBy("g", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    spans = (
-        placed.join(chosen, ["g", "bucket"])
-        .withColumn("hi", F.col("start") + F.sum("c").over(inside))
-        .select("g", "bucket", "x", (F.col("hi") - F.col("c")).alias("lo"), "hi")
-    )
-    hit = ranks.join(spans, ["g", "bucket"]).where(
-        (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    )
-    part = F.col("at") - F.floor("at")
-    weight = F.when(F.col("rank") == F.floor("at"), 1 - part).otherwise(part)
-    values = hit.groupBy("g", "i").agg(F.sum(F.col("x") * weight).alias("v"))
+    asked = sketch.select("g", brackets.alias("brackets"))
+    met = rows.join(F.broadcast(asked) if few else asked, "g").select("g", "x", F.explode("brackets").alias("w"))
+    below = F.coalesce(F.col("x") < F.col("w.lo"), F.lit(False))
+    above = F.coalesce(F.col("x") > F.col("w.hi"), F.lit(False))
+    # what is below a bracket is one row of it, without a value
+    placed = met.where(~above).select("g", "w.i", "w.at", F.when(~below, F.col("x")).alias("x"))
+    counts = placed.groupBy("g", "i", "at", "x").agg(F.count(F.lit(1)).alias("c"))
+    line = Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.withColumn("to", F.sum("c").over(line)).where(F.col("x").isNotNull())
+    floor, ceil = F.floor("at"), F.ceil("at")
+    holds = lambda rank: ((rank >= F.col("to") - F.col("c")) & (rank < F.col("to"))).cast("int")
+    part = F.col("at") - floor
+    weight = holds(floor) * (1 - part) + holds(ceil) * part
+    missed = F.raise_error(F.lit("a quantile sketch was outside its error bound")).cast("double")
+    total = F.sum(F.when(weight > 0, F.col("x") * weight))
+    values = spans.groupBy("g", "i").agg(F.when(F.sum(weight) > 1 - 1e-9, total).otherwise(missed).alias("v"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"])
     return values.groupBy("g").agg(listed.alias("q")).select(
         *[F.col("g")[k].alias(k) for k in keys], "q"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +69,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """``materialize`` several tables that don't need each other, at the same time."""
+    spark = tables[0][0].sparkSession
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return [j.result() for j in [pool.submit(inheritable_thread_target(spark)(lambda t=t: materialize(*t))) for t in tables]]
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables of this session, once their results are no longer needed."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
