@@ -15,12 +15,13 @@ from vecloom import fixed_values as fixed
 from vecloom.operators import compare, curation, inference, linking, reports, sampling
 from vecloom.operators import labels as L
 from vecloom.operators.quantiles import exact_quantiles
-from vecloom.operators.ranking import global_positions, group_positions, salt_bucket
-from vecloom.functions import hashing
+from vecloom.operators.ranking import global_positions, group_positions, salt_bucket, sequence_positions
+from vecloom.functions import hashing, windows
 from vecloom.functions.hashing import manifest_digest, video_id_from_url
 from vecloom.functions.titles import title_dedup_key
 from vecloom.session import materialize
 from vecloom.sources import commits, files, remote, store, tables
+from vecloom.sources import lines as lines_source
 from vecloom.streaming import ingest
 from vecloom.streaming.ingest import ingest_stream, write_batch
 
@@ -137,6 +138,66 @@ def test_label_csv(spark, tmp_path):
         tables.read_label_csv(spark, str(tmp_path / "no.csv"))
 
 
+def test_list_files_of_many_splits_keep_their_numbers(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [rng.choice(["", "# note", "  x ", "https://e.example/" + "y" * rng.randint(0, 80), '"', "a\tb"]) for _ in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("\r\n".join(lines[:50]) + "\n")
+    (tmp_path / "none.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = lines_source.numbered_lines(spark, str(tmp_path / "*.txt")).collect()
+        assert len({r["file"] for r in got}) == 2 and spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() >= 8
+        quotes = 0
+        for k, r in enumerate(sorted((r for r in got if r["file"].endswith("a.txt")), key=lambda r: r["line_no"])):
+            assert (r["line_no"], r["raw"], r["open"]) == (k, lines[k], quotes % 2 == 1)
+            quotes += lines[k].count('"')
+        kept = files.read_input_list(spark, str(tmp_path / "b.txt")).orderBy("line_no").collect()
+        assert [(r["line_no"], r["raw"]) for r in kept] == [(k, x.strip()) for k, x in enumerate(lines[:50]) if x.strip() and not x.startswith("#")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_label_csv_of_many_splits_keeps_quoted_fields(spark, tmp_path):
+    import csv
+    import io
+
+    rng = random.Random(4)
+    rows = [[k, rng.choice(["small", "medium", "large"]), "training", rng.choice(["Rock", 'a "b", c\nd', "x\n\ny\n", "", "é,\u2028;"]), "t" * rng.randint(0, 90)] for k in range(1, 600)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["", "set", "set", "track", "track"], ["", "subset", "split", "genre_top", "title"], ["track_id", "", "", "", ""], *rows])
+    path = tmp_path / "tracks.csv"
+    path.write_text(out.getvalue(), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = {r["fma_track_id"]: r for r in tables.read_label_csv(spark, str(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: (r["set.subset"], r["track.genre_top"] or "", r["track.title"] or "") for k, r in got.items()} == {k: (s, g, t) for k, s, _, g, t in rows}
+
+
+def test_a_long_sequence_is_many_pieces(spark):
+    """Positions of a crowded group come from counted ranges; its windows lie whole in pieces that overlap."""
+    n = 30_000
+    df = spark.range(n).select(F.lit("busy").alias("u"), (F.col("id") * 7 % 1000).alias("at"), "id", (F.col("id") % 11).cast("double").alias("x"))
+    df = df.unionByName(spark.range(40).select(F.concat(F.lit("u"), F.col("id") % 3).alias("u"), F.col("id").alias("at"), "id", F.lit(1.0).alias("x")))
+    placed = sequence_positions(df, ["u"], "at", ["id"], "pos", "n", rows_per_bucket=1000)
+    rows = placed.toPandas()
+    for _, part in rows.groupby("u"):
+        part = part.sort_values(["at", "id"])
+        assert list(part["pos"]) == list(range(len(part))) and (part["n"] == len(part)).all()
+    for window, hop, piece in ((16, 8, 64), (10, 3, 10), (5, 9, 50), (64, 1, 1 << 16)):
+        made = windows.long_windows(placed, ["u"], window, hop, {"c": F.count(F.lit(1)), "s": F.sum("x")}, piece=piece).toPandas()
+        for u, part in rows.groupby("u"):
+            x = part.sort_values("pos")["x"].to_numpy()
+            count = 1 if len(x) <= window else 1 + -(-(len(x) - window) // hop)
+            want = [(w, min(window, len(x) - w * hop), x[w * hop : w * hop + window].sum()) for w in range(count) if w * hop < len(x)]
+            got = made[made["u"] == u].sort_values("w")
+            assert np.allclose(got[["w", "c", "s"]].to_numpy(float), want)
+    with pytest.raises(ValueError):
+        windows.long_windows(placed, ["u"], 0, 1, {})
+
+
 def test_manifest_without_optional_columns(spark):
     df = spark.createDataFrame([(1, "small", "x")], "fma_track_id long, subset string, genre_top string")
     row = L.load_manifest(df, "/r").first()
@@ -516,6 +577,22 @@ def test_dedup_equals_the_sequential_rule(spark, seed):
     assert [r["seq"] for r in curation.keep_tracks(curation.dedup_first_wins(df), 4).orderBy("seq").collect()] == kept
 
 
+def test_chains_of_copies_end_in_few_rounds(spark, monkeypatch):
+    """A row that waits for a row that waits ...: 2,000 links are settled by jumps, with the result of the sequential rule."""
+    calls = []
+    cut = curation.cut_lineage
+    monkeypatch.setattr(curation, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    url = lambda k: f"https://x.example/watch?v={k:011d}"
+    rows = [(n, url((n + 1) // 2), f"song number{n // 2}") for n in range(2000)]
+    rng = random.Random(8)
+    rows += [(5000 + n, url(5000 + rng.randint(0, 150)), f"other title{rng.randint(0, 150)}") for n in range(300)]  # with forks
+    df = spark.createDataFrame(rows, "seq long, url string, title string").repartition(4)
+    got = {r["seq"]: r["status"] for r in curation.dedup_first_wins(df).collect()}
+    assert got == greedy([(n, u[-11:], t.replace("number", "number")) for n, u, t in [(n, u, " ".join(sorted(t.split()))) for n, u, t in rows]])
+    assert sum(s == "kept" for n, s in got.items() if n < 2000) == 1000
+    assert len(calls) < 60
+
+
 def test_resolve_caches_failures_and_keeps_order(spark):
     inputs = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "bad")], "pos long, raw string")
     empty = spark.createDataFrame([], "cache_key string, entries array<struct<url:string,title:string>>")

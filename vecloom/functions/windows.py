@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as WindowSpec
 from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
@@ -42,6 +45,25 @@ def windows_of_position(position: Column, n: Column, window: int, hop: int) -> C
     return F.when(first <= to, F.sequence(first.cast("int"), to.cast("int")))
 
 
+def long_windows(rows: DataFrame, keys: Sequence[str], window: int, hop: int, aggregates: dict[str, Column], position: str = "pos", size: str = "n", piece: int = 1 << 16) -> DataFrame:
+    """Aggregates over the sliding windows of sequences kept one element a row: ``keys, w`` and the named columns.
+
+    ``position`` numbers the elements of a sequence from 0, ``size`` is its length. Sequences are cut into pieces of ``piece`` positions, and
+    the first elements of a piece are copied to the piece before, so that every window lies whole in the piece it starts in. A row is
+    shuffled once, or twice near a border, however much the windows overlap, and a long sequence is as many tasks as it has pieces.
+    """
+    if window <= 0 or hop <= 0:
+        raise ValueError("window and hop must be positive")
+    piece = max(piece, window)
+    own = F.floor(F.col(position) / piece)
+    near = (F.col(position) % piece < window - 1) & (own > 0)
+    dealt = rows.withColumn("_piece", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))))
+    ahead = WindowSpec.partitionBy(*keys, "_piece").orderBy(position).rowsBetween(0, window - 1)
+    starts = (F.col(position) % hop == 0) & (own == F.col("_piece")) & (F.col(position) / hop < window_count(F.col(size), window, hop))
+    made = dealt.select("*", *(a.over(ahead).alias(f"_a{k}") for k, a in enumerate(aggregates.values())))
+    return made.where(starts).select(*keys, (F.col(position) / hop).cast("int").alias("w"), *(F.col(f"_a{k}").alias(name) for k, name in enumerate(aggregates)))
+
+
 def plan_windows(n: int | Column, count: int, window: int = fixed.WINDOW_SAMPLES) -> Column:
     """Start offsets of ``count`` windows spread evenly over ``n`` samples."""
     if count <= 0:

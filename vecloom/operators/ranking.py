@@ -54,6 +54,46 @@ def group_positions(
     return out.drop("_bucket", "_rn", "_offset", "_size")
 
 
+def sequence_positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    ties: Sequence[Column | str] = (),
+    position: str = "position",
+    size: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """0-based position of every row in its group by a numeric column, then ``ties``, for groups of any size.
+
+    Groups are counted first. Those of more than ``rows_per_bucket`` rows are cut at quantiles of the column into buckets of about that
+    many; the others are one bucket. Rows of equal ``order`` stay in one bucket. ``keys`` must not be NULL.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = counts.where(F.col("_rows") > rows_per_bucket)
+    # groups that large are few: one for each million rows at most
+    cut = df.join(F.broadcast(large), [*keys]).groupBy(*keys).agg(
+        F.percentile_approx(order, [i / 1024 for i in range(1, 1024)], 10_000).alias("_q"), F.first("_rows").alias("_rows")
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(1024 * rows_per_bucket) / F.col("_rows"))).cast("int")
+    borders = cut.select(*keys, F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % step == 0)).alias("_borders"))
+    marked = df.join(F.broadcast(borders), [*keys], "left")
+    # the borders ascend, so the number of those below a row is found by halving
+    bucket = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(_count_up_to("_borders", F.col(order)))
+    placed = group_positions(marked, keys, bucket, [order, *ties], position, size)
+    return placed.drop("_borders")
+
+
+def _count_up_to(borders: str, x: Column) -> Column:
+    """How many of at most 1,023 ascending borders are not above ``x``, in ten steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(9, -1, -1)])
+
+    def further(found: Column, step: Column) -> Column:
+        at = found + step
+        return F.when((at <= F.size(borders)) & (F.get(borders, at - 1) <= x), at).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def global_positions(
     df: DataFrame, order: str, position: str = "position", buckets: int | None = None
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from vecloom.functions import vectors as V
 from vecloom.functions import windows as W
 from vecloom.operators import inference, reports, sampling
 from vecloom.operators import labels as L
-from vecloom.operators.ranking import global_positions, group_positions
+from vecloom.operators.ranking import global_positions, group_positions, sequence_positions
 from vecloom.plans import fixtures as X
 from vecloom.plans.registry import query, r6, sql_r6, sql_salt, sql_uniform, table
 from vecloom.session import scratch_path, spread
@@ -579,11 +579,10 @@ def w1(spark, sf_dir):
     SELECT user_id, CAST(w AS INTEGER) AS w, count(*) AS n, {sql_r6('sum(value)')} AS total FROM w GROUP BY user_id, w""",
 )
 def w1_events(spark, sf_dir):
-    """The long form: a user's events are the sequence, and a busy user is spread over days."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    placed = group_positions(events, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "pos", "n")
-    held = placed.select("user_id", "value", F.explode(W.windows_of_position(F.col("pos"), F.col("n"), 16, 8)).alias("w"))
-    sums = held.groupBy("user_id", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    """The long form: a user's events are the sequence; a busy user is cut into ranges, ranges into pieces that overlap."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    placed = sequence_positions(events, ["user_id"], "at", ["event_id"], "pos", "n")
+    sums = W.long_windows(placed, ["user_id"], 16, 8, {"n": F.count(F.lit(1)), "total": F.sum("value")})
     return sums.withColumn("total", r6(F.col("total")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from vecloom import fixed_values as fixed
 from vecloom.functions.hashing import relative_path
+from vecloom.sources.lines import numbered_lines
 from vecloom.sources.paths import qualified_directory
 from vecloom.sources.remote import list_tree, reachable
 
@@ -60,12 +61,8 @@ def scan_order(path: str | Column = "path") -> Column:
 
 
 def read_input_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, line_no, raw`` of list files, stripped, without blank and ``#`` lines."""
-    whole = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "raw"))
-    return select_inputs(lines)
+    """``file, line_no, raw`` of list files, stripped, without blank and ``#`` lines. Files are read in splits; numbers are the file's."""
+    return select_inputs(numbered_lines(spark, paths).select("file", "line_no", "raw"))
 
 
 def select_inputs(lines: DataFrame, raw: str = "raw") -> DataFrame:

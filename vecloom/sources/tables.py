@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom import fixed_values as fixed
+from vecloom.sources.lines import csv_records
 from vecloom.sources.paths import exists
 
 
-def read_label_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_label_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with two header rows as columns ``upper.lower``; the first column is the id.
 
-    Only the two header rows come to the driver. Rows whose first field is not a number (the
-    headers, and the line with the index name) are dropped.
+    The file is read in splits; a quoted field that spans lines is one field all the same (``csv_records``). Only the two header
+    rows come to the driver. Rows whose first field is not a number (the headers, and the line with the index name) are dropped.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"label file not found at {path}")
-    raw = (
-        spark.read.option("header", "false")
-        .option("multiLine", str(multi_line).lower())
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    upper, lower = raw.take(2)
-    names = ["fma_track_id"] + [f"{u or ''}.{v or ''}" for u, v in zip(upper[1:], lower[1:])]
+    records = csv_records(spark, path)
+    rules = {"quote": '"', "escape": '"'}
+    head = [r["record"] for r in records.orderBy("line_no").limit(2).collect()]
+    upper, lower = (next(csv.reader([line])) if line else [] for line in (head + ["", ""])[:2])
+    width = max(len(upper), len(lower), 1)
+    upper, lower = (row + [""] * (width - len(row)) for row in (upper, lower))
+    fields = ", ".join(f"_c{k} string" for k in range(width))
+    raw = records.select(F.from_csv("record", fields, rules).alias("r")).select("r.*")
+    names = ["fma_track_id"] + [f"{u}.{v}" for u, v in zip(upper[1:], lower[1:], strict=True)]
     body = raw.where(F.col("_c0").rlike("^[0-9]+$")).toDF(*names)
     return body.withColumn("fma_track_id", F.col("fma_track_id").cast("bigint"))
 
