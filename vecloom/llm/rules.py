@@ -21,8 +21,9 @@ SAMPLE = 20_000
 #: thresholds of a statistic
 BINS = 24
 MOST_RULES, MOST_CONDITIONS = 6, 3
-#: a rule stays if, on the tracks it was pruned on, it covers so many and is right so often
-LEAST_COVERED, LEAST_PRECISION = 10, 0.7
+#: a rule stays if, on the tracks it was pruned on, it is right so often, and surely (one-sided 95 percent) at least so often:
+#: five tracks without an error are enough, whatever the number of labels
+LEAST_PRECISION, LEAST_SURE, SURE_Z = 0.7, 0.64, 1.645
 
 LEAST_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]+"
@@ -173,6 +174,15 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     return rule[:k], p, n
 
 
+def sure_precision(p: int, n: int) -> float:
+    """Wilson's lower confidence bound of the precision of p right and n wrong verdicts."""
+    total, z = p + n, SURE_Z**2
+    if not total:
+        return 0.0
+    share = p / total
+    return (share + z / (2 * total) - SURE_Z * math.sqrt(share * (1 - share) / total + z / (4 * total**2))) / (1 + z / total)
+
+
 def learn_rules(labelled: DataFrame) -> list[Rule]:
     """The decision list for rows with the base statistics, ``_id`` and ``_bad`` (1: reject, 0: keep).
 
@@ -193,7 +203,7 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
         if not grown:
             break
         rule, p, n = _prune(rows.filter("_fold = 0"), grown)
-        if p + n < LEAST_COVERED or p < LEAST_PRECISION * (p + n):
+        if p < LEAST_PRECISION * (p + n) or sure_precision(p, n) < LEAST_SURE:
             break
         rules.append(rule)
         rows = rows.filter(~_all(rule))
@@ -234,7 +244,9 @@ def apply_quality_rules(
 
     A null text counts as empty: no words, so it fails the base. Labels that are null, or whose id is null or missing in
     ``tracks``, teach nothing; without labels no rule is learned and the base alone decides. Rows are judged one by one, so
-    repeated and null ids keep their rows; other columns are not read. An empty table gives no rows.
+    repeated and null ids keep their rows; other columns are not read. An empty table gives no rows. Texts of any length are
+    read whole. A value equal to a threshold is not above it; of equally good conditions the first statistic, then the lowest
+    threshold is taken.
 
     The rules see at most ``sample`` labelled tracks, chosen by a hash of the id; the verdict is a CASE expression over columns of
     the row, so the table is read once and never shuffled.
