@@ -32,6 +32,7 @@ CUES = {
     "password": "secret",
     "api key": "secret",
     "api_key": "secret",
+    "api-key": "secret",
     "apikey": "secret",
 }
 #: kinds that masking replaces
@@ -44,7 +45,7 @@ _CHAIN = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _DIAL = re.compile(r"[ ().0-9-]*+")
 _DIGIT = re.compile(r"[0-9]")
 _ADDRESS = re.compile(r"[^\s<>\"'`]*+")
-_AFTER_CUE = re.compile(r"(?:[ ]?(?:number|no|nr|id|key))?[ .]{0,2}[:=#]?[ ]?[\"']?", re.I)
+_AFTER_CUE = re.compile(r"(?:[ ]?(?:number|no|nr|id|key))?[\"']?[ .]{0,2}[:=#]?[ ]?[\"']?", re.I)
 _VALUE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_/+-]|[ ](?=[0-9]))*+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
 _DIGITS_ONLY = str.maketrans("", "", " -")
@@ -55,13 +56,19 @@ def _automaton() -> ahocorasick.Automaton:
     for sign, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         found.add_word(sign, (kind, 1))
     for cue, kind in CUES.items():
-        for form in (cue, cue.capitalize(), cue.upper()):
-            found.add_word(form, (kind, len(cue)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
 _ANCHORS = _automaton()
+_LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
+
+
+def _lowered(text: str) -> str:
+    """A copy of the same length in which cues are in lower case."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_LOWER)
 
 
 def luhn(digits: str) -> bool:
@@ -123,7 +130,7 @@ def _identifier(text: str, after: int, kind: str) -> tuple[int, int] | None:
                 return start, end
         return None
     value = _VALUE.match(text, start)
-    if value is None or value.end() - start > 200:
+    if value is None:
         return None
     digits = len(_DIGIT.findall(text, start, value.end()))
     whole = value.end() - start
@@ -133,7 +140,7 @@ def _identifier(text: str, after: int, kind: str) -> tuple[int, int] | None:
 def find_spans(text: str) -> list[tuple[int, str, int]]:
     """``(start, kind, end)`` in code points, by start and then kind."""
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    for place, (kind, length) in _ANCHORS.iter(text):
+    for place, (kind, length) in _ANCHORS.iter(_lowered(text)):
         if kind == "at":
             span = _email(text, place, out["email"][-1][1] if out["email"] else 0)
         elif kind == "plus":
@@ -143,8 +150,11 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
         else:
             cue = place + 1 - length
             word = cue > 0 and text[cue - 1].isalnum() or text[place + 1 : place + 2].isalnum()
-            span = None if word else _identifier(text, place + 1, kind)
-            kind = "account" if kind == "iban" else kind
+            of = "account" if kind == "iban" else kind
+            # a cue inside the last value starts none of its own, so no value is walked twice
+            inside = out[of] and out[of][-1][1] > place + 1
+            span = None if word or inside else _identifier(text, place + 1, kind)
+            kind = of
         kind = "email" if kind == "at" else kind
         if span and not (out[kind] and out[kind][-1][1] > span[0]):
             out[kind].append(span)
@@ -198,7 +208,8 @@ def personal_data(tracks: DataFrame, id_col: str = "track_id", text_col: str = "
     Returns the id, the ``carry`` columns, ``spans`` (kind, start, end in code points, end exclusive; by start, then kind) and
     ``masked``, the text with personal spans replaced by ``<KIND>``. Base kinds are email, ip, card and phone, leftmost and not
     overlapping within a kind. The anchors add url (a scheme and its address; reported, not masked), account (IBAN with valid
-    check digits, numbers behind a cue, card numbers inside longer digit chains) and secret (keys behind a cue).
+    check digits, numbers behind a cue, card numbers inside longer digit chains) and secret (keys behind a cue, of any length).
+    Cues count in any case, with or without a quote before the colon. Texts of any length are read whole, in linear time.
 
     A null text has no spans and stays null, an empty one stays empty. Ids are only passed on, so null and repeated ids are
     kept as they are. Columns that are neither named nor carried are dropped. An empty table gives no rows.
