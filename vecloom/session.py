@@ -69,6 +69,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``materialize`` as a table that is bucketed by ``key``: later joins on it don't shuffle these rows again.
+
+    As many buckets as shuffle partitions. The catalog entry is of this session; ``drop_scratch`` removes the files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"scratch_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``materialize`` table that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        for path in [p for p in _SCRATCH if folder.endswith(p.rpartition("/")[2])]:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(hadoop).delete(target, True)
+            _SCRATCH.remove(path)
+
+
 def materialize_all(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
     """``materialize`` several tables that don't need each other, at the same time."""
     spark = tables[0][0].sparkSession
