@@ -11,7 +11,7 @@ from vecloom.llm.pii import personal_data
 from vecloom.llm.queries import mixture
 from vecloom.llm.winnow import mark_contamination
 from vecloom.plans.registry import table
-from vecloom.session import materialize
+from vecloom.session import drop_table, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: confidence below which a language isn't taken
@@ -77,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Columns beyond the five of documents are dropped by the first; a stage's table goes once the next is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_table(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
