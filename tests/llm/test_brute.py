@@ -245,10 +245,27 @@ def test_targets_out_of_reach_give_the_nearest_rates(spark):
     assert rates[0] == pytest.approx(0.0, abs=1e-6) and rates[1] > 0
 
 
+def test_posteriors_are_those_of_naive_bayes(spark):
+    rows = [(1, "a a b c"), (2, "b b d"), (3, "c d d d e"), (4, "x y"), (5, ""), (6, "A b " * 90)]
+    labels = [(1, "rock"), (2, "jazz"), (3, "jazz"), (4, "zydeco"), (4, "rock")]
+    got = {r["track_id"]: r["posterior"] for r in mixing.mix_to_targets(
+        spark.createDataFrame(rows, "track_id long, title string"), spark.createDataFrame(labels, "track_id long, genre_top string"), {"rock": 0.5, "jazz": 0.5}
+    ).collect()}
+    words = {d: [w for i, t in rows for w in t.lower().split() for j, g in labels if i == j and g == d] for d in ("rock", "jazz")}
+    known = set(words["rock"]) | set(words["jazz"])
+    for i, t in rows:
+        own = t.lower().split()
+        score = {d: sum(np.log((words[d].count(w) + 1) / (len(words[d]) + mixing.BUCKETS)) for w in own if w in known) for d in words}
+        share = min(mixing.EVIDENCE, len(own)) / max(1, len(own))
+        top = max(score.values())
+        raised = {d: np.exp((v - top) * share) for d, v in score.items()}
+        assert got[i] == pytest.approx({d: v / sum(raised.values()) for d, v in raised.items()}, abs=1e-9)
+
+
 @pytest.mark.parametrize("share", [0.1, 0.02, 0.002])
 def test_hard_cuts_of_soft_domains_match(spark, share):
     part = (F.col("id") + 0.5) / 1000
-    table = spark.range(1000).select(F.lit(10).alias("n_tokens"), part.alias("_p0"), (1 - part).alias("_p1")).localCheckpoint()
+    table = spark.range(1000).select(F.lit(10).alias("n_tokens"), part.alias("_p0"), (1 - part).alias("_p1")).cache()
     rate = mixing.fit_rates(table, [10000 * share, 10000 * (1 - share)])
     got = table.agg(F.sum(rate * F.col("n_tokens") * F.col("_p0")), F.sum(rate * F.col("n_tokens") * F.col("_p1")), F.min(rate)).first()
     assert list(got)[:2] == pytest.approx([10000 * share, 10000 * (1 - share)], abs=0.2) and got[2] >= 0

@@ -176,3 +176,42 @@ def test_personal_data(tracks):
     found = [g for g in got if g[0] is None and g[2]][0]
     assert [s["kind"] for s in found[1]] == ["email", "ip"] and found[2].startswith("mail <EMAIL> or <IP> and")
     assert pii.personal_data(tracks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["language", "near_dedup", "decontaminate", "personal_data", "mixture"])
+def test_pipeline_stages(spark, stage):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline
+
+    sf_dir, run = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)[stage]
+    rows = [(d, t, None if (d or 0) % 2 else "en", None if d == 2 else "s", None if d == 3 else len(t or "")) for d, t in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(1).alias(c) for c in ("_id", "_text", "_key", "score", "lang_pred", "spans", "masked", "contaminated", "rate")))
+    got = run(spark, docs, sf_dir)
+    ids = sorted((r["doc_id"] for r in got.collect()), key=lambda i: (i is None, i or 0))
+    if stage != "mixture":
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = {
+        "language": [1, 2, 2, 6, 7, None],  # the others have no letter
+        "near_dedup": [1, 3, 4, 5, 6, 7, None, None],
+        "decontaminate": [1, 2, 2, 3, 4, 5, 6, 7, None, None],
+        "personal_data": [1, 2, 2, 3, 4, 5, 6, 7, None, None],
+        "mixture": [1, 2, 3, 4, 5, 6, 7, None],  # rows of one id are one
+    }
+    assert ids == want[stage]
+    assert run(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_remove_repeats_by_text_ids(spark):
+    """Ids of the store are text: order is theirs, hot passages and copies included."""
+    passage = "a passage of well over fifty bytes that many of the tracks have in common, word for word"
+    rows = [(f"{k:03x}", f"{k} before {passage} after {k * 7}") for k in range(40)] + [("zz", passage), (None, passage), ("001", passage[:49]), ("002", None)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "track_id string, title string").repartition(5))
+    by = {(r["track_id"], r["n_bytes"]): r for r in got.collect()}
+    assert len(by) == len(rows)
+    first = by["000", len(rows[0][1])]
+    assert first["removed"] == [] and by[None, len(passage)]["removed"] == []
+    for k in range(1, 40):
+        (span,) = by[f"{k:03x}", len(rows[k][1])]["removed"]
+        assert passage in rows[k][1][span["start"] : span["end"]] and len(rows[k][1]) - len(passage) - 20 < len(rows[k][1]) - (span["end"] - span["start"])
+    assert by["zz", len(passage)]["kept"] == b"" and by["001", 49]["removed"] == [] and by["002", 0]["removed"] == []
