@@ -304,17 +304,17 @@ _K6_SQL = f"""centers AS (SELECT vec_id // 32 AS cell, CAST(embedding AS DOUBLE[
     found AS (SELECT query_id, place FROM exact JOIN placed ON placed.vec_id = neighbor_id JOIN places ON places.vec_id = query_id AND places.cell = placed.cell),
     asked AS (SELECT * FROM found WHERE query_id % 5 = 0),
     visited AS (SELECT min(p.place) AS cells FROM (SELECT DISTINCT place FROM places) p
-      WHERE (SELECT count(*) FROM asked a WHERE a.place <= p.place) >= 0.9 * (SELECT count(*) FROM asked))"""
+      WHERE (SELECT count(*) FROM asked a WHERE a.place <= p.place) >= 0.92 * (SELECT count(*) FROM asked))"""
 
 
 def _k6_index(spark, sf_dir):
-    """An index whose number of visited cells was measured on a fifth of the vectors as queries."""
+    """An index whose number of visited cells was measured on a fifth of the vectors, for 0.92 there, to hold 0.9 over all."""
     df = _embeddings(spark, sf_dir)
     centers = df.where("vec_id % 32 = 0").select((F.col("vec_id") / 32).cast("int").alias("cell"), F.col("embedding").alias("center"))
     path = scratch_path(spark, "cell-index")
     cell_index.build_index(df, path, centers=centers, id_col="vec_id")
     index = cell_index.open_index(spark, path)
-    measured = cell_index.calibrate(index, df.where("vec_id % 5 = 0"), 10, 0.9, "vec_id", exclude_self=True)
+    measured = cell_index.calibrate(index, df.where("vec_id % 5 = 0"), 10, 0.92, "vec_id", exclude_self=True)
     return df, index, measured
 
 
